@@ -16,7 +16,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) END) AS s FROM words
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM words
 ), sized AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 shared AS (SELECT s FROM sets GROUP BY s HAVING count(*) > 1),
 few AS (SELECT doc_id, s FROM sets SEMI JOIN shared USING (s)),
