@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, pii, token_counts
+from . import decontamination, near_dedup, packing, pii, repeats, token_counts
 from .common import Shelf, table
 
 
@@ -84,7 +84,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = [op1_near_dedup, op3_decontamination, op4_pii, op8_packing, op9_token_counts]
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = [op1_near_dedup, op3_decontamination, op4_pii, op8_packing, op9_token_counts, op10_repeats]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
