@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sums_before
+
 TRAINING_LINES, PRECISION = 2000, 0.995
 TREES, RATE, BINS = 16, 0.4, 12
 
@@ -55,24 +57,12 @@ WORDS = {
 }
 
 
-def _sums(lengths: Column) -> Column:
-    """Sums of the numbers before each of them; blocks keep the copying of growing arrays short."""
-    block, n = 256, F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    add = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
-    starts = F.aggregate(totals, empty, add, lambda a: a["out"])
-    inside = F.zip_with(blocks, starts, lambda x, at: F.aggregate(x, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")), add, lambda a: a["out"]))
-    return F.when(n > 0, F.flatten(inside)).otherwise(F.array().cast("array<int>"))
-
-
 def _found(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end, value, before, after>> of the pattern's matches; positions in code points."""
     pattern = F.lit(PATTERNS[kind])
     values, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
     lengths = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.length(v) + F.length(g))
-    starts = F.zip_with(_sums(lengths), F.transform(F.slice(gaps, F.lit(1), F.size(values)), F.length), lambda a, b: a + b)
+    starts = F.zip_with(sums_before(lengths), F.transform(F.slice(gaps, F.lit(1), F.size(values)), F.length), lambda a, b: a + b)
     rows = F.transform(
         F.arrays_zip(values.alias("v"), starts.alias("s"), F.sequence(F.lit(0), F.size(values) - 1).alias("i"), gaps.alias("g")),
         lambda x: x,
@@ -341,3 +331,22 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _spans_of(text: Column, model: Model) -> Column:
+    """All redacted spans of a text, by kind, then start."""
+    kinds = []
+    for k in KINDS:
+        found = F.coalesce(_found(text, k), F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"))
+        keep = (lambda k: lambda c: model.redacts(_numbers(c)) | passes(k, c["value"]))(k) if k in BASE else (lambda c: model.redacts(_numbers(c)))
+        kinds.append(_bare(F.filter(found, keep)))
+    return F.concat(*kinds)
+
+
+def redact(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with the private spans of text replaced; n_chars, where there is one, follows. Null text stays null."""
+    out = docs.withColumn("__spans", _spans_of(F.coalesce(F.col("text").cast("string"), F.lit("")), model))
+    out = out.withColumn("text", redacted(F.col("text"), F.col("__spans"))).drop("__spans")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, pii, repeats, token_counts
+from . import chat, decontamination, language, media, near_dedup, packing, pii, repeats, token_counts, urls
 from .common import Shelf, table
 
 
@@ -35,6 +35,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 #: Every run of words of each window length, joined to the windows by their whole text.
 OP3_SQL = r"""
 WITH dw AS (
@@ -74,6 +78,90 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.withColumn("held_out", F.coalesce(language.fold(F.col("doc_id")) == 1, F.lit(False)))
+
+
+#: What the template writes, counted turn by turn; the turns and texts themselves.
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), e AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '<', '\l'), '###', '\h') AS x,
+    replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '###', '\h'), ':', '\c') AS r,
+    lag(role) OVER w AS past, lead(role) OVER w AS next
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(x) + CASE WHEN past = role THEN 5 ELSE 6 + length(r) END + CASE WHEN next = role THEN 0 ELSE 8 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    read = chat.format_chats(turns).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+#: Rules by suffix and prefix, longest first; pages without one by the urls that canonical links and refreshes reach.
+OP7_SQL = r"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+links AS (
+  SELECT url, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
+  FROM pages
+), urls AS (
+  SELECT url FROM pages UNION
+  SELECT CASE WHEN target LIKE '//%' THEN 'http:' || target WHEN target LIKE '/%' THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*', 0) || target ELSE target END FROM links WHERE target <> ''
+), parts AS (
+  SELECT url, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
+  FROM (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM urls)
+), judged AS (
+  SELECT url, any_value(host) AS host, any_value(path) AS path, any_value(CASE WHEN host <> '' THEN host || CASE WHEN tail = '' THEN '/' ELSE tail END END) AS node,
+    arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS own
+  FROM parts LEFT JOIN rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY url
+), edges AS (
+  SELECT a.node AS u, b.node AS v FROM links JOIN judged a ON a.url = links.url
+  JOIN judged b ON b.url = CASE WHEN target LIKE '//%' THEN 'http:' || target WHEN target LIKE '/%' THEN regexp_extract(links.url, '^[^:/?#]*://[^/?#]*', 0) || target ELSE target END
+  WHERE target <> '' AND a.node IS NOT NULL AND b.node IS NOT NULL
+), sides AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach AS (SELECT u, v FROM sides UNION SELECT r.u, b.v FROM reach r JOIN sides b ON b.u = r.v),
+passed AS (SELECT r.u AS node, CASE WHEN bool_or(own = 'allow') THEN 'allow' WHEN bool_or(own = 'block') THEN 'block' END AS said FROM reach r JOIN judged j ON j.node = r.v GROUP BY r.u)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(own, said, 'allow') AS verdict
+FROM pages LEFT JOIN judged ON judged.url = pages.url LEFT JOIN passed ON passed.node = judged.node
+"""
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -89,7 +177,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_near_dedup, op3_decontamination, op4_pii, op8_packing, op9_token_counts, op10_repeats]
+QUERIES = [op1_near_dedup, op2_media, op3_decontamination, op4_pii, op5_language, op6_chat, op7_urls, op8_packing, op9_token_counts, op10_repeats]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -97,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op3_decontamination": OP3_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_chat": OP6_SQL, "op7_urls": OP7_SQL}
