@@ -12,9 +12,10 @@ signs for both.  Bands of 5 compressed registers are the keys of candidates.
 Pairs are never listed within a group of copies: equal sets are one class from
 the start; each key's members are then tested against its least member alone;
 only members that connected components leave in different components are
-paired, and keys with many such components are first split again by a second,
-third ... band.  Estimates corrected for collisions drop pairs that are far
-below the threshold; the rest are confirmed on full sets.  A pair at exactly
+paired.  The documents of keys with many such components (a passage that many
+documents share) are paired by an exact prefix filter on their rarest shingles
+instead.  Estimates corrected for collisions drop pairs that are far below the
+threshold; the rest are confirmed on full sets.  A pair at exactly
 0.8 shares no band with a probability of 2e-9.
 
 Null text, empty text and text without words: no shingles, linked with
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Shelf, small_enough
@@ -37,7 +38,7 @@ from .shingles import _ODD, Hasher, mix
 
 REGISTERS, WIDTH, MANTISSA, MOST_ZEROS = 256, 5, 12, 14
 BANDS = REGISTERS // WIDTH
-#: Keys with more components than this are split by further bands.
+#: Documents of keys with more members than this are paired by their rarest shingles.
 LARGE_KEY = 48
 #: At most so many document ids are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -206,12 +207,39 @@ class _Links:
         return links
 
 
-def _split(shelf: Shelf, bands: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (key, doc, c) of large keys again by a further band each: their keys are pairs of keys."""
-    more = rows.join(bands.select(F.col("key").alias("with"), "doc"), "doc").where("with <> key")
-    more = more.select(F.xxhash64(F.least("key", "with"), F.greatest("key", "with")).alias("key"), "doc", "c").distinct()
-    mixed = more.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return shelf.put(more.join(mixed, "key", "left_semi"))
+def _exploded(size: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches(rows, 1):
+            found = [*hasher.sets([x or b"" for x in batch.column(1).to_pylist()], size)]
+            count = np.array([len(x) for x in found], np.int64)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), count)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(count, count)), pa.array(np.concatenate(found).view(np.int64))], ["doc", "n", "shingle"])
+
+    return run
+
+
+def _prefix_pairs(shelf: Shelf, docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates (a, b) among the documents of large keys, rows (key, doc, c), by an exact prefix filter.
+
+    Linked sets share one of the rarest n - ceil(percent * n / 100) + 1 shingles
+    of both.  Shingles that one document alone has come first and need no join,
+    so a passage that many documents share makes no candidates of them.
+    """
+    of = shelf.put(rows.select("doc", "c").distinct())
+    hint = F.broadcast if small_enough(of, BROADCAST_IDS) else (lambda x: x)
+    texts = docs.join(hint(of.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
+    every = texts.mapInArrow(_exploded(size), "doc long, n long, shingle long")
+    shared = shelf.put(every.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    known = shelf.put(every.join(shared, "shingle"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    alone = shelf.put(known.groupBy("doc").agg((F.first("n") - F.count("*")).alias("alone"), F.first(length).alias("length")).where("alone < length"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("df", "shingle"))
+    prefix = known.join(alone, "doc").withColumn("place", place).where("alone + place <= length")
+    prefix = shelf.put(prefix.join(of, "doc").select("shingle", "doc", "n", "c"))
+    a, b = (prefix.select("shingle", *(F.col(x).alias(f"{x}_{y}") for x in ("doc", "n", "c"))) for y in "ab")
+    near = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
+    return a.join(b, "shingle").where("doc_a < doc_b and c_a <> c_b").where(near).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -239,17 +267,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     rows = shelf.put(rows)
     mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rows = shelf.put(rows.join(mixed, "key", "left_semi"))
-    pairs = None
-    for depth in range(6):
-        size_of = shelf.put(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_KEY).select("key"))
-        last = depth == 5 or size_of.isEmpty()
-        small = rows if last else rows.join(size_of, "key", "left_anti")
-        a, b = (small.select("key", F.col("doc").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab")
-        new = a.join(b, "key").where("a < b and c_a <> c_b").select("a", "b")
-        pairs = new if pairs is None else pairs.unionByName(new)
-        if last:
-            break
-        rows = _split(shelf, bands, rows.join(size_of, "key", "left_semi"))
+    large = shelf.put(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_KEY).select("key"))
+    a, b = (rows.join(large, "key", "left_anti").select("key", F.col("doc").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab")
+    pairs = a.join(b, "key").where("a < b and c_a <> c_b").select("a", "b")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_prefix_pairs(shelf, docs, rows.join(large, "key", "left_semi"), size, percent))
     pairs = shelf.put(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         joined = components(shelf, shelf.put(found.unionByName(links.of(pairs))))
