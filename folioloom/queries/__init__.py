@@ -15,4 +15,6 @@ class Query:
 
 
 def catalogue() -> dict[str, Query]:
-    return {}
+    from . import pages
+
+    return pages.QUERIES
