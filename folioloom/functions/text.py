@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from .. import profile as P
 from ..profile import DEFAULT, Profile
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; named expressions would be computed wherever they stand."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return text.rlike(("(?iu)" if ignore_case else "") + pattern)
 
@@ -42,8 +49,10 @@ def is_structural(text: Column) -> Column:
 
 
 def is_subtitle(text: Column, profile: Profile = DEFAULT) -> Column:
-    s = heading_text(text)
-    w = words(s)
+    return let(heading_text(text), lambda s: let(words(s), lambda w: _is_subtitle(s, w, profile)))
+
+
+def _is_subtitle(s: Column, w: Column, profile: Profile) -> Column:
     titled = F.size(F.filter(w, lambda x: x.rlike(P.TITLED)))
     ruled_out = (
         (s == "")
@@ -60,13 +69,14 @@ def is_subtitle(text: Column, profile: Profile = DEFAULT) -> Column:
 
 def without_page_number(text: Column) -> Column:
     """Stripped; empty if the whole text is a number of up to four digits."""
-    s = strip(F.coalesce(text, F.lit("")))
-    return F.when(s.rlike("^[0-9]{1,4}$"), "").otherwise(s)
+    return let(strip(F.coalesce(text, F.lit(""))), lambda s: F.when(s.rlike("^[0-9]{1,4}$"), "").otherwise(s))
 
 
 def is_separator(text: Column, profile: Profile = DEFAULT) -> Column:
-    cleaned = without_page_number(text)
-    compact = collapse(cleaned)
+    return let(without_page_number(text), lambda cleaned: let(collapse(cleaned), lambda compact: _is_separator(cleaned, compact, profile)))
+
+
+def _is_separator(cleaned: Column, compact: Column, profile: Profile) -> Column:
     filled = F.size(F.filter(lines(cleaned), lambda x: strip(x) != ""))
     few = (filled <= profile.separator_lines) & (F.regexp_count(compact, F.lit(f"[{P.LETTERS}']+")) <= profile.separator_words)
     return (F.length(compact) <= profile.separator_chars) | (few & (F.regexp_count(compact, F.lit("[.!?¿¡;:]")) <= profile.separator_marks))
@@ -78,10 +88,12 @@ def is_image_only(text: Column, profile: Profile = DEFAULT) -> Column:
 
 def garbage_score(text: Column, profile: Profile = DEFAULT) -> Column:
     """Strange characters, tokens with symbols inside and a lack of letters, up to 1."""
-    cleaned = without_page_number(text)
+    return let(without_page_number(text), lambda cleaned: let(words(cleaned), lambda chunks: _garbage_score(cleaned, chunks, profile)))
+
+
+def _garbage_score(cleaned: Column, chunks: Column, profile: Profile) -> Column:
     solid = F.length(F.regexp_replace(cleaned, f"[{P.SPACE}]", "")).cast("double")
     strange = F.length(F.regexp_replace(cleaned, f"[{P.ALLOWED}]", "")) / F.greatest(F.lit(1.0), solid)
-    chunks = words(cleaned)
     tokens = F.size(F.filter(chunks, lambda c: c.rlike(f"[{P.WORD}]")))
     inside = F.size(F.filter(chunks, lambda c: c.contains("_") | c.rlike(f"[{P.WORD}].*[{P.SUSPICIOUS}].*[{P.WORD}]")))
     letters = F.length(F.regexp_replace(cleaned, r"[^\p{L}]", "")) / F.greatest(F.lit(1.0), solid)
@@ -97,7 +109,10 @@ def ocr_decision(text: Column, profile: Profile = DEFAULT, mode: str | None = No
         return made(False, F.lit("ocr desactivado"), F.lit(0.0))
     if mode == "force":
         return made(True, F.lit("modo force"), F.lit(1.0))
-    cleaned, score = without_page_number(text), garbage_score(without_page_number(text), profile)
+    return let(without_page_number(text), lambda cleaned: let(garbage_score(cleaned, profile), lambda score: _ocr_decision(cleaned, score, made, profile)))
+
+
+def _ocr_decision(cleaned: Column, score: Column, made: Callable[..., Column], profile: Profile) -> Column:
     return (
         F.when(F.length(cleaned) < profile.ocr_min_text_chars, made(True, F.lit(f"texto escaso (< {profile.ocr_min_text_chars} chars)"), F.lit(1.0)))
         .when(score >= profile.ocr_garbage_threshold, made(True, F.format_string("texto corrupto (score=%.2f)", score), score))
@@ -107,18 +122,18 @@ def ocr_decision(text: Column, profile: Profile = DEFAULT, mode: str | None = No
 
 def header_footer_form(line: Column) -> Column:
     """A line with its page number replaced by a mark; empty for headings."""
-    s = collapse(F.coalesce(line, F.lit("")))
-    edge = f"[^{P.WORD}]"
-    marked = F.regexp_replace(s, f"(?iu)(?<![{P.WORD}])(p[áa]g(?:ina)?\\.? *)[0-9]{{1,4}}(?![{P.WORD}])", "$1<PAGE_NUM>")
-    marked = F.when(marked.rlike(P.PAGE_LINE), F.regexp_replace(marked, "[0-9]{1,4} *$", "<PAGE_NUM>")).otherwise(marked)
-    last = collapse(F.regexp_replace(marked, f"(?<![{P.WORD}])[0-9]{{1,4}}(?![{P.WORD}])", "<PAGE_NUM>"))
-    del edge
-    return (
-        F.when((s == "") | is_structural(s), "")
-        .when(s.rlike("^[\\-–— ]*[0-9]{1,4}[\\-–— ]*$") | marked.rlike("^[\\-–— ]*<PAGE_NUM>[\\-–— ]*$"), "<PAGE_NUM>")
-        .when(is_structural(last), "")
-        .otherwise(last)
-    )
+    def finish(s: Column, marked: Column, last: Column) -> Column:
+        return (
+            F.when((s == "") | is_structural(s), "")
+            .when(s.rlike("^[\\-–— ]*[0-9]{1,4}[\\-–— ]*$") | marked.rlike("^[\\-–— ]*<PAGE_NUM>[\\-–— ]*$"), "<PAGE_NUM>")
+            .when(is_structural(last), "")
+            .otherwise(last)
+        )
+
+    phrase = lambda s: F.regexp_replace(s, f"(?iu)(?<![{P.WORD}])(p[áa]g(?:ina)?\\.? *)[0-9]{{1,4}}(?![{P.WORD}])", "$1<PAGE_NUM>")
+    page = lambda m: F.when(m.rlike(P.PAGE_LINE), F.regexp_replace(m, "[0-9]{1,4} *$", "<PAGE_NUM>")).otherwise(m)
+    numbers = lambda m: collapse(F.regexp_replace(m, f"(?<![{P.WORD}])[0-9]{{1,4}}(?![{P.WORD}])", "<PAGE_NUM>"))
+    return let(collapse(F.coalesce(line, F.lit(""))), lambda s: let(let(phrase(s), page), lambda m: let(numbers(m), lambda last: finish(s, m, last))))
 
 
 def is_page_number(line: Column) -> Column:
@@ -135,8 +150,10 @@ def is_variable_border(line: Column) -> Column:
 
 
 def toc_score(text: Column, profile: Profile = DEFAULT) -> Column:
-    s = heading_text(text)
-    lower = F.lower(s)
+    return let(heading_text(text), lambda s: let(F.lower(s), lambda lower: _toc_score(s, lower, profile)))
+
+
+def _toc_score(s: Column, lower: Column, profile: Profile) -> Column:
     short = (F.length(s) <= profile.toc_entry_chars) & (F.size(words(s)) <= profile.toc_entry_words)
     named, leaders, pipe = lower.rlike(P.TOC_SECTIONS), s.rlike(P.LEADERS), s.contains("|")
     trailing = s.rlike(f"(^|[^{P.WORD}])[0-9]{{1,4}}$")
@@ -146,9 +163,10 @@ def toc_score(text: Column, profile: Profile = DEFAULT) -> Column:
 
 def is_toc_page(paragraphs: Column) -> Column:
     """Whether an array of paragraphs is a table of contents."""
-    joined = heading_text(F.array_join(paragraphs, " "))
-    lower = F.lower(joined)
-    scores = F.transform(paragraphs, toc_score)
+    return let(heading_text(F.array_join(paragraphs, " ")), lambda joined: let(F.lower(joined), lambda lower: let(F.transform(paragraphs, toc_score), lambda scores: _is_toc_page(paragraphs, joined, lower, scores))))
+
+
+def _is_toc_page(paragraphs: Column, joined: Column, lower: Column, scores: Column) -> Column:
     strong, medium = F.size(F.filter(scores, lambda s: s >= 3)), F.size(F.filter(scores, lambda s: s >= 2))
     mentions = F.regexp_count(lower, F.lit(P.TOC_MENTIONS))
     numbers = F.regexp_count(lower, F.lit(f"(?<![{P.WORD}])[0-9]{{1,4}}(?![{P.WORD}])"))
@@ -189,10 +207,19 @@ def page_heading(paragraphs: Column, allow_terminal: Column | bool = True, profi
     """struct<kind, title, subtitle, consume> of a page's paragraphs, or null."""
     allowed = allow_terminal if isinstance(allow_terminal, Column) else F.lit(allow_terminal)
     candidates = F.filter(F.transform(F.slice(paragraphs, F.lit(1), F.lit(profile.heading_candidates)), heading_text), lambda x: x != "")
+    return let(candidates, lambda c: _page_heading(c, allowed, profile))
+
+
+def _page_heading(candidates: Column, allowed: Column, profile: Profile) -> Column:
     heads = lambda x: special_kind(x).isNotNull() | matches(x, P.CHAPTER) | matches(x, P.PART) | matches(x, P.SHORT_STORY)
     place = F.array_position(F.transform(F.slice(candidates, F.lit(1), F.lit(profile.heading_lookahead)), heads), True).cast("int")
     at = F.greatest(place, F.lit(1))
-    first, follower = F.get(candidates, at - 1), F.get(candidates, at)
+    found = let(at, lambda at: let(F.get(candidates, at - 1), lambda first: let(F.get(candidates, at), lambda follower: _heading_at(at, first, follower, allowed))))
+    toc = let(F.get(candidates, 0), lambda x: toc_score(x) >= 3) & is_toc_page(candidates)
+    return F.when((F.size(candidates) > 0) & ~toc, found)
+
+
+def _heading_at(at: Column, first: Column, follower: Column, allowed: Column) -> Column:
     usable = follower.isNotNull() & is_subtitle(follower) & (toc_score(follower) < 2)
     kind = F.when(allowed, special_kind(first)).otherwise(special_kind(first, tuple(k for k, _ in P.SPECIAL if k not in P.TERMINAL)))
     plain = special_kind(follower).isNull() & ~matches(follower, P.CHAPTER)
@@ -207,14 +234,12 @@ def page_heading(paragraphs: Column, allow_terminal: Column | bool = True, profi
     no, short = F.coalesce(usable, F.lit(False)), is_short_heading(first)
     label = group(P.CHAPTER, 2)
     label = F.when(label.rlike(r"^\p{L}+$"), F.initcap(label)).otherwise(label)
-    toc = (toc_score(candidates[0]) >= 3) & is_toc_page(candidates)
-    return F.when(
-        (F.size(candidates) > 0) & ~toc,
+    return (
         F.when(kind.isNotNull() & short, made(kind, special_title(kind, first), F.lit(""), no & F.coalesce(author | plain, F.lit(False))))
         .when(matches(first, P.CHAPTER) & short, made(F.lit("chapter"), F.concat(F.lit("Capítulo "), label), group(P.CHAPTER, 4), no & F.coalesce(plain, F.lit(False))))
         .when(matches(first, P.PART) & short, made(F.lit("part"), F.concat(F.lit("Parte "), group(P.PART, 2)), group(P.PART, 4), no))
         .when(matches(first, P.SHORT_STORY), made(F.lit("short_story"), F.lit("Short Story"), F.lit(""), no))
-        .when(first.rlike(P.NUMBERED) & short, made(F.lit("chapter"), F.concat(F.lit("Capítulo "), F.regexp_extract(first, P.NUMBERED, 1)), strip(F.regexp_extract(first, P.NUMBERED, 2)), F.lit(False))),
+        .when(first.rlike(P.NUMBERED) & short, made(F.lit("chapter"), F.concat(F.lit("Capítulo "), F.regexp_extract(first, P.NUMBERED, 1)), strip(F.regexp_extract(first, P.NUMBERED, 2)), F.lit(False)))
     )
 
 
