@@ -163,7 +163,7 @@ def _toc_score(s: Column, lower: Column, profile: Profile) -> Column:
 
 def is_toc_page(paragraphs: Column) -> Column:
     """Whether an array of paragraphs is a table of contents."""
-    return let(heading_text(F.array_join(paragraphs, " ")), lambda joined: let(F.lower(joined), lambda lower: let(F.transform(paragraphs, toc_score), lambda scores: _is_toc_page(paragraphs, joined, lower, scores))))
+    return let(heading_text(F.array_join(paragraphs, " ")), lambda joined: let(F.lower(joined), lambda lower: let(F.transform(paragraphs, lambda x: toc_score(x)), lambda scores: _is_toc_page(paragraphs, joined, lower, scores))))
 
 
 def _is_toc_page(paragraphs: Column, joined: Column, lower: Column, scores: Column) -> Column:

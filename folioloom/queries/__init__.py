@@ -15,6 +15,6 @@ class Query:
 
 
 def catalogue() -> dict[str, Query]:
-    from . import pages
+    from . import pages, structure
 
-    return pages.QUERIES
+    return pages.QUERIES | structure.QUERIES
