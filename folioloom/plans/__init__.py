@@ -1 +1 @@
-
+"""Whole jobs made of the operators."""

@@ -15,6 +15,6 @@ class Query:
 
 
 def catalogue() -> dict[str, Query]:
-    from . import pages, structure
+    from . import package, pages, structure
 
-    return pages.QUERIES | structure.QUERIES
+    return pages.QUERIES | structure.QUERIES | package.QUERIES

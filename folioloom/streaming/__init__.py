@@ -1 +1 @@
-
+"""Books as they arrive."""
