@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..profile import SPACE, WORD
-from .text import strip
+from .text import is_page_number, lines, strip
 
 
 def escape_xml(text: Column) -> Column:
@@ -39,3 +39,18 @@ def first_filled(*values: Column) -> Column:
 
 def numbered(prefix: str, number: Column, suffix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), 3, "0"), F.lit(suffix))
+
+
+def caption(page_text: Column, is_full_page: Column) -> Column:
+    """An inline picture's caption: its page's lines but blank ones and page numbers; a full page has none."""
+    kept = F.filter(F.transform(lines(page_text), strip), lambda x: (x != "") & ~is_page_number(x))
+    return F.when(is_full_page, "").otherwise(F.array_join(kept, " "))
+
+
+def export_name(title: Column) -> Column:
+    return F.concat(safe_stem(title, "libro", 80), F.lit(".epub"))
+
+
+def job_name(started: Column, stem: Column, mark: Column) -> Column:
+    """A job's folder: its start, its stem and six letters of a mark that the caller gives."""
+    return F.concat_ws("_", F.date_format(started, "yyyyMMdd-HHmmss"), safe_stem(stem), F.substring(mark, 1, 6))

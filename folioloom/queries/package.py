@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..operators import package as K
 from ..operators import templates
+from ..profile import BREAK
 from ..plans.book import archive_of, unique_names
 from ..sources.tables import table
 from . import Query
@@ -155,7 +156,40 @@ def epub_archive(spark, sf_dir):
     return archive_of(fragment_html(spark, sf_dir)).select("book_id", (F.length("archive") > 0).alias("made"))
 
 
+def cover_pages(spark, sf_dir):
+    x = BOOKS.frame(spark)
+    return x.select("book_id", K.cover_page(F.col("lang"), F.col("book_id") == "b", F.col("title"), F.col("author")).alias("page"))
+
+
+_COVER_BODY = f"CASE WHEN book_id = 'b' THEN {q(templates.COVER)} ELSE '<h1>' || {_ESCAPE('title')} || '</h1>' || chr(10) || '<h2>' || {_ESCAPE('author')} || '</h2>' END"
+
+
+def image_pages(spark, sf_dir):
+    return GALLERIES.frame(spark).select("name", K.image_page(F.lit("es"), F.lit("Imagen"), F.col("name"), F.col("caption")).alias("page"))
+
+
+_SAID = f"CASE WHEN caption <> '' THEN chr(10) || '  <p class=\"centrado\"><i>' || {_ESCAPE('caption')} || '</i></p>' ELSE '' END"
+_IMAGE_BODY = _printf(templates.IMAGE_PAGE, "'Imagen'", "name", _SAID)
+
+
+def image_captions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(M.caption(F.concat(F.lit("12\n\n"), "text"), F.col("doc_id") % 5 == 0)).alias("md5"))
+
+
+_LINE_LIST = f"list_filter(list_transform(string_split_regex(text, {q(BREAK)}), lambda x: {strip('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]{{1,4}}$'))"
+
+
+def export_names(spark, sf_dir):
+    started = F.to_timestamp(F.lit("2024-03-01 10:20:30"))
+    return STEMS.frame(spark).select("id", M.export_name(F.col("value")).alias("name"), M.job_name(started, F.col("value"), F.sha1(F.col("id").cast("string"))).alias("job"))
+
+
 QUERIES = {
+    "cover_pages": Query(cover_pages, f"SELECT book_id, {_printf(templates.CHAPTER, 'lang', q('Portada'), _COVER_BODY)} AS page FROM {BOOKS.sql}"),
+    "image_pages": Query(image_pages, f"SELECT name, {_printf(templates.CHAPTER, q('es'), q('Imagen'), _IMAGE_BODY)} AS page FROM {GALLERIES.sql}"),
+    "image_captions": Query(image_captions, f"SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN '' ELSE array_to_string({_LINE_LIST}, ' ') END) AS md5 FROM documents"),
+    "export_names": Query(export_names, f"SELECT id, coalesce(nullif(left(s, 80), ''), 'libro') || '.epub' AS name, '20240301-102030_' || coalesce(nullif(s, ''), 'libro') || '_' || left(sha1(CAST(id AS VARCHAR)), 6) AS job FROM (SELECT id, {_STEM} AS s FROM {STEMS.sql.replace('AS STRING', 'AS VARCHAR')})"),
     "xml_escape": Query(xml_escape, f"SELECT doc_id, md5({_ESCAPE('text')}) AS md5 FROM documents"),
     "inline_styles": Query(inline_styles, f"SELECT doc_id, md5({_STYLE('text')}) AS md5 FROM documents"),
     "para_html": Query(para_html, f"SELECT ch_idx, pos, {_PARA('text', 'pos = min(pos) OVER (PARTITION BY ch_idx)')} AS html FROM {TEXTS.sql}"),
