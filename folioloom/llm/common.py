@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='folioloom-')}"
+        made = tempfile.mkdtemp(prefix="folioloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        folder = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -28,6 +32,7 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/shelf-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self.close)
 
     def put(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         self.count += 1
@@ -39,9 +44,20 @@ class Shelf:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._shelf_path)
+        self._delete(df._shelf_path)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Removes the folder when the program ends; one whose session has ended stays."""
+        if self.spark.sparkContext._jsc is not None and self.count:
+            try:
+                self._delete(self.root)
+            except OSError:
+                pass
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
