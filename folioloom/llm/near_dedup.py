@@ -232,14 +232,22 @@ def _prefix_pairs(shelf: Shelf, docs: DataFrame, rows: DataFrame, size: int, per
     every = texts.mapInArrow(_exploded(size), "doc long, n long, shingle long")
     shared = shelf.put(every.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
     known = shelf.put(every.join(shared, "shingle"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    alone = shelf.put(known.groupBy("doc").agg((F.first("n") - F.count("*")).alias("alone"), F.first(length).alias("length")).where("alone < length"))
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("df", "shingle"))
-    prefix = known.join(alone, "doc").withColumn("place", place).where("alone + place <= length")
-    prefix = shelf.put(prefix.join(of, "doc").select("shingle", "doc", "n", "c"))
-    a, b = (prefix.select("shingle", *(F.col(x).alias(f"{x}_{y}") for x in ("doc", "n", "c"))) for y in "ab")
-    near = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
-    return a.join(b, "shingle").where("doc_a < doc_b and c_a <> c_b").where(near).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    # A pair shares at most what the poorer has in shared shingles; that bounds the sizes of partners from above.
+    most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
+    counts = known.groupBy("doc").agg(F.first("n").alias("n"), F.count("*").alias("shared"))
+    counts = shelf.put(counts.withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * percent).drop("n"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("df", "shingle")) + F.col("n") - F.col("shared")
+    probes = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = known.join(counts, "doc").withColumn("place", place).where(F.col("place") <= probes)
+    prefix = shelf.put(prefix.join(of, "doc").select("shingle", "doc", "n", "c", "most", "place"))
+    # The longer one of a pair probes with its whole prefix, the shorter one is found by a shorter prefix.
+    step = lambda n: F.floor(F.log(n) / float(np.log(1.05))).cast("int")
+    least = F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100))
+    long = prefix.withColumn("size", F.explode(F.sequence(step(least), step(F.greatest(least, F.least("n", "most"))))))
+    short = prefix.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1).withColumn("size", step(F.col("n")))
+    a, b = (x.select("shingle", "size", *(F.col(k).alias(f"{k}_{y}") for k in ("doc", "n", "c", "most"))) for x, y in ((long, "a"), (short, "b")))
+    fits = "c_a <> c_b and (n_b < n_a or n_b = n_a and doc_b < doc_a) and n_b <= most_a and n_a <= most_b"
+    return a.join(b, ["shingle", "size"]).where(fits).where(F.col("n_a") * percent <= F.col("n_b") * 100).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
