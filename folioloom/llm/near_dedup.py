@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     # A doc_id in several classes joins them: its class edges close over what the components found.
     nodes = joined.withColumnRenamed("node", "rep").withColumnRenamed("component", "root")
     owner = every.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left").join(nodes, "rep", "left")
-    owner = owner.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    owner = owner.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
     return owner.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
