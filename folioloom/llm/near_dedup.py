@@ -276,8 +276,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rows = shelf.put(rows.join(mixed, "key", "left_semi"))
     large = shelf.put(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_KEY).select("key"))
-    a, b = (rows.join(large, "key", "left_anti").select("key", F.col("doc").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab")
-    pairs = a.join(b, "key").where("a < b and c_a <> c_b").select("a", "b")
+    # Linked sets differ in size by a bounded factor.
+    small = rows.join(large, "key", "left_anti")
+    sized = signed.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
+    small = shelf.put(small.join(sized.join(small.select("doc").distinct(), "doc", "left_semi"), "doc"))
+    a, b = (small.select("key", F.col("doc").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
+    pairs = a.join(b, "key").where(near).select("a", "b")
     if not large.isEmpty():
         pairs = pairs.unionByName(_prefix_pairs(shelf, docs, rows.join(large, "key", "left_semi"), size, percent))
     pairs = shelf.put(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
