@@ -303,50 +303,58 @@ def _bare(found: Column) -> Column:
     return F.transform(found, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
 
 
+def _with_spans(docs: DataFrame, text: Column, model: Model) -> DataFrame:
+    """docs with __base and __spans of a text; each step is a projection of its own, so that no expression is written out twice."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    every = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
+    found = docs.select(*own, *(_found(text, k).alias(f"__found_{k}") for k in KINDS))
+    base = lambda k: _bare(F.coalesce(F.filter(F.col(f"__found_{k}"), _check(k)), F.array().cast(every)))
+    scored = lambda k: F.filter(F.transform(F.col(f"__found_{k}"), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _numbers(c).alias("x"))), lambda c: model.redacts(c["x"]))
+    more = lambda k: F.coalesce(_bare(scored(k)), F.array().cast(_BARE))
+    found = found.select(*own, *(base(k).alias(f"__base_{k}") for k in BASE), *(more(k).alias(f"__more_{k}") for k in KINDS))
+    spans = F.concat(*(F.array_sort(F.array_union(f"__base_{k}", f"__more_{k}")) if k in BASE else F.col(f"__more_{k}") for k in KINDS))
+    return found.select(*own, F.concat(*(F.col(f"__base_{k}") for k in BASE)).alias("__base"), spans.alias("__spans"))
+
+
 def private_spans(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text, base (checked spans of the base kinds) and spans (all that are redacted), by kind, then start."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = docs.select("doc_id", "text", *(_found(F.col("text"), k).alias(f"found_{k}") for k in KINDS))
-    empty = F.array().cast(_BARE)
-    base = {k: F.coalesce(F.filter(F.col(f"found_{k}"), _check(k)), F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>")) for k in BASE}
-    scored = lambda k: F.filter(F.transform(F.col(f"found_{k}"), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _numbers(c).alias("x"))), lambda c: model.redacts(c["x"]))
-    found = found.select("doc_id", "text", *(_bare(base[k]).alias(f"base_{k}") for k in BASE), *(F.coalesce(_bare(scored(k)), empty).alias(f"more_{k}") for k in KINDS))
-    spans = F.concat(*(F.array_sort(F.array_union(f"base_{k}", f"more_{k}")) if k in BASE else F.col(f"more_{k}") for k in KINDS))
-    return found.select("doc_id", "text", F.concat(*(F.col(f"base_{k}") for k in BASE)).alias("base"), spans.alias("spans"))
+    return _with_spans(docs, F.col("text"), model).select("doc_id", "text", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
+
 
+_RUN = "array<struct<start:int,end:int,kind:string>>"
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each merged run of overlapping spans replaced by the kind of its first span in brackets."""
+
+def merged(spans: Column) -> Column:
+    """Runs of overlapping spans, each with the kind of its first one."""
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    run = "array<struct<start:int,end:int,kind:string>>"
-    last = lambda a: F.element_at(a, -1)
-    merged = F.aggregate(
-        by_start,
-        F.array().cast(run),
-        lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0))), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"), F.try_element_at(a, F.lit(-1))["kind"].alias("kind"))))).otherwise(F.concat(a, F.array(s))),
-    )
-    pieces = lambda m: F.concat(F.transform(m, lambda s, i: F.concat(F.substr(text, F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)), F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.substr(text, last(m)["end"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, F.array_join(pieces(merged), "")).otherwise(text)
 
+    def add(runs: Column, s: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        joined = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(longer))
+        return F.when((F.size(runs) > 0) & (s["start"] < F.coalesce(last["end"], F.lit(0))), joined).otherwise(F.concat(runs, F.array(s)))
 
-def listed(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.aggregate(by_start, F.array().cast(_RUN), add)
+
+
+def replaced(text: Column, runs: Column) -> Column:
+    """The text with each run (a column of its own) replaced by its kind in brackets."""
+    end = lambda i: F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0)
+    pieces = F.transform(runs, lambda r, i: F.concat(F.substr(text, end(i) + 1, r["start"] - end(i)), F.lit("["), F.upper(r["kind"]), F.lit("]")))
+    rest = F.substr(text, F.element_at(runs, -1)["end"] + 1, F.length(text))
+    return F.when(F.size(runs) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
 
 
-def _spans_of(text: Column, model: Model) -> Column:
-    """All redacted spans of a text, by kind, then start."""
-    kinds = []
-    for k in KINDS:
-        found = F.coalesce(_found(text, k), F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"))
-        keep = (lambda k: lambda c: model.redacts(_numbers(c)) | passes(k, c["value"]))(k) if k in BASE else (lambda c: model.redacts(_numbers(c)))
-        kinds.append(_bare(F.filter(found, keep)))
-    return F.concat(*kinds)
+def listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """docs with the private spans of text replaced; n_chars, where there is one, follows. Null text stays null."""
-    out = docs.withColumn("__spans", _spans_of(F.coalesce(F.col("text").cast("string"), F.lit("")), model))
-    out = out.withColumn("text", redacted(F.col("text"), F.col("__spans"))).drop("__spans")
+    out = _with_spans(docs, F.coalesce(F.col("text").cast("string"), F.lit("")), model)
+    out = out.withColumn("__runs", merged(F.col("__spans")))
+    out = out.withColumn("text", replaced(F.col("text"), F.col("__runs")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
