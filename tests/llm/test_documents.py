@@ -243,6 +243,25 @@ def test_repeats(docs, parts):
             assert r.n_removed == 0
 
 
+@pytest.mark.parametrize("place", [7, 8, 10])
+def test_blocks_of_texts_beyond_the_place_bits(monkeypatch, place):
+    monkeypatch.setattr(repeats, "_PLACE", place)
+    rng = np.random.default_rng(6)
+    shared = rng.integers(97, 123, 90).astype(np.uint8).tobytes()
+    say = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    texts = [shared + say(20), say(3000) + shared + say(700), b"", say(49), say(50), say(2**place - 1), say(2**place)]
+    text, start, windows, offset, anchor, own = repeats._blocks(texts)
+    of = {}
+    for k, s, w, o, a in zip(*(x.tolist() for x in (text, start, windows, offset, anchor))):
+        for i in range(w):
+            assert (k, s + i) not in of
+            of[k, s + i] = a
+        t = np.frombuffer(texts[k][s + o : s + o + repeats.ANCHOR], np.uint8)
+        assert a == int(repeats.mix(repeats.Hashed(t).of(np.array([0]), np.array([len(t)])))[0])
+    assert sorted(of) == [(k, s) for k, t in enumerate(texts) for s in range(len(t) - 49)]
+    assert all(of[0, i] == of[1, 3000 + i] for i in range(41))
+
+
 def test_suffix_sort_orders():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 900).astype(np.uint8)
