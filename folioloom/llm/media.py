@@ -2,10 +2,9 @@
 
 HTML is parsed to an ordered array of items: texts, and references to media by
 digest with their captions.  A store holds each medium once, under the digest
-of its stored form.  The digest join resolves references; positions and
-captions stay with their items.  What a consumer needs of a medium (here its
-read-back facts) is computed at the store, before the join, so payloads are not
-shuffled; `resolve` joins whichever columns the store has, bytes too.
+of its stored form, bytes included.  The digest join resolves references to
+these bytes; positions and captions stay with their items.  The store is written
+bucketed by digest, so the join shuffles references but not payloads.
 
 A payload is stored as 8-bit mono samples in a WAV file, padded with zero bytes
 to a positive multiple of 64.
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, shuffle_partitions
 from .near_dedup import batches
 
 UNIT, RATE = 64, 8000
@@ -127,37 +126,74 @@ def resolve(sequence: DataFrame, store: DataFrame) -> DataFrame:
     return items.join(store, "digest", "left")
 
 
-def _stored(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_bytes, media): the stored form of each text."""
+def _pages(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, html): for each document a page that refers to its text's stored form by digest, captioned with the text's size."""
     for batch in batches(rows, 1):
         texts = [x or b"" for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([encode(x) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+        html = [f'<article><p>document</p><figure><img src="{SCHEME}{hashlib.sha256(encode(x)).hexdigest()}"><figcaption>{len(x)}</figcaption></figure></article>' for x in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html, pa.string())], ["page_id", "html"])
+
+
+def _packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, packed): the stored form of each text, compressed for the shuffle, once a task."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    seen: set[str] = set()
+    for batch in batches(rows, 1):
+        digests, packed = [], []
+        for x in batch.column(1).to_pylist():
+            media = encode(x or b"")
+            if (digest := hashlib.sha256(media).hexdigest()) not in seen:
+                seen.add(digest), digests.append(digest), packed.append(squeeze(media))
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(packed, pa.binary())], ["digest", "packed"])
+
+
+def _once(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, media), each digest once; all rows of a digest are in the task."""
+    import zstandard
+
+    spread = zstandard.ZstdDecompressor().decompress
+    seen: set[str] = set()
+    for batch in batches(rows, 1):
+        digests, media = [], []
+        for digest, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if digest not in seen:
+                seen.add(digest), digests.append(digest), media.append(spread(packed))
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
+
+
+def media_store(docs: DataFrame, shelf: Shelf) -> DataFrame:
+    """(digest, media): the stored forms of the texts of docs (doc_id, text), written once a digest and bucketed by it."""
+    n = shuffle_partitions(docs.sparkSession)
+    packed = docs.mapInArrow(_packed, "digest string, packed binary")
+    return shelf.put_bucketed(packed.repartition(n, "digest").mapInArrow(_once, "digest string, media binary"), n, "digest")
+
+
+_FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, position int"
 
 
 def _facts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the stored bytes say when read back, and a page that refers to them."""
+    """What the resolved bytes of (doc_id, n_bytes, position, digest, media) say when read back; nulls without bytes."""
     for batch in rows:
-        out: list[list] = [[] for _ in range(7)]
-        for size, media in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            samples = decode(media)
-            digest = hashlib.sha256(media).hexdigest()
-            page = f'<article><p>document</p><figure><img src="{SCHEME}{digest}"><figcaption>{size}</figcaption></figure></article>'
-            for column, v in zip(out, (page, digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), feature(samples))):
+        out: list[list] = [[] for _ in range(6)]
+        for digest, media in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist()):
+            if media is None:
+                said = (None, None, None, None, digest, None)
+            else:
+                samples = decode(media)
+                said = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
+            for column, v in zip(out, said):
                 column.append(v)
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_bytes", "html", "digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(out, kinds)), batch.column("position")]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FACTS.split(", ")])
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Each row of docs (doc_id, text) as a page with its text as a medium, captioned with its size, and resolved: facts of the stored bytes."""
-    shelf = Shelf(docs.sparkSession)
+    """Each row of docs (doc_id, text) as a page with its text as a medium, captioned with its size, and resolved: facts of the bytes that the digest join brings."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    facts = docs.mapInArrow(_stored, "doc_id long, n_bytes long, media binary").mapInArrow(
-        _facts, "doc_id long, n_bytes long, html string, digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
-    )
-    facts = shelf.put(facts)
-    known = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature")
-    store = shelf.put(facts.groupBy("digest").agg(*(F.first(c).alias(c) for c in known)))
-    pages = facts.select(F.col("doc_id").alias("page_id"), "html")
+    store = media_store(docs, Shelf(docs.sparkSession))
+    pages = docs.mapInArrow(_pages, "page_id long, html string")
     found = resolve(sequences(pages), store).where("kind = 'media'")
-    return found.select(F.col("page_id").alias("doc_id"), F.col("text").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position")
+    return found.select(F.col("page_id").alias("doc_id"), F.col("text").cast("long").alias("n_bytes"), "position", "digest", "media").mapInArrow(_facts, _FACTS)

@@ -282,6 +282,16 @@ def test_media(docs):
     assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:8]) for r in got) == sorted(want)
 
 
+def test_media_are_stored_once_and_resolved_to_bytes(spark, docs):
+    store = media.media_store(docs.select("doc_id", F.col("text").cast("binary").alias("text")), Shelf(spark))
+    kept = [(r.digest, bytes(r.media)) for r in store.collect()]
+    want = {media.encode((t or "").encode()) for _, t, *_ in made()}
+    assert sorted(kept) == sorted((hashlib.sha256(m).hexdigest(), m) for m in want)
+    digest = kept[0][0]
+    pages = spark.createDataFrame([(1, f'<img src="sha256:{digest}">')], "page_id long, html string")
+    assert bytes(media.resolve(media.sequences(pages), store).first().media) == kept[0][1]
+
+
 def test_media_sequences(spark):
     html = '<h1>Uno</h1><p>dos <b>tres</b><figure><img src="sha256:aa"><figcaption>pie <i>a</i></figcaption></figure><script>var x="no"</script>fin<img src="http://x/y.png" alt="z">'
     pages = spark.createDataFrame([(1, html, "k"), (2, None, "k"), (3, "", "k"), (4, html, "k")], "page_id long, html string, digest string")
