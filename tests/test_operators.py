@@ -3,6 +3,7 @@
 import random
 import zipfile
 from io import BytesIO
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
@@ -61,6 +62,34 @@ def test_book_archives(spark):
     assert names[0] == "mimetype" and "Un Comienzo" in text and "i.jpg" in text and "Capítulo 1" in text
 
 
+def test_archives_are_whole(spark):
+    words = "la ciudad dormía bajo la lluvia mientras los barcos cruzaban el río y nadie miraba ya hacia el puerto viejo"
+    pages = [("b", 0, ""), ("b", 1, ""), ("b", 2, ""), ("b", 3, ""), ("b", 4, f"Capítulo 1\nPrimero {words}."), ("b", 5, f"Segundo {words}."), ("b", 6, ""), ("b", 7, f"Tercero {words}."), ("c", 0, "Solo una página."), ("d", 0, "")]
+    pics = [("b", 0, 0, "cover.png", True, ""), ("b", 1, 0, "p1.jpg", True, ""), ("b", 2, 0, "p2.jpg", True, "Pie & dos"), ("b", 3, 0, "in.jpg", False, "fuera"), ("b", 5, 0, "five.jpg", False, ""), ("b", 6, 0, "six.jpg", True, ""), ("d", 0, 0, "d1.jpg", True, ""), ("d", 9, 1, "d2.jpg", True, "")]
+    images = spark.createDataFrame([(*r, bytearray(r[3].encode() * 9), 600, 800) for r in pics], "book_id string, page_idx int, img_no int, name string, is_full_page boolean, caption string, content binary, width int, height int")
+    books = spark.createDataFrame([("b", "Mi <Libro>", "Ana")], "book_id string, title string, author string")
+    found = {r.book_id: zipfile.ZipFile(BytesIO(r.archive)) for r in build(spark.createDataFrame(pages, "book_id string, page_idx int, raw_text string"), images, books=books).collect()}
+    assert sorted(found) == ["b", "c", "d"]
+    for book, file in found.items():
+        names = file.namelist()
+        assert len(names) == len(set(names)) and names[0] == "mimetype" and file.getinfo("mimetype").compress_type == zipfile.ZIP_STORED
+        opf = ElementTree.fromstring(file.read("OEBPS/content.opf").decode().encode())
+        hrefs = {x.get("id"): x.get("href") for x in opf.iter("{http://www.idpf.org/2007/opf}item")}
+        assert sorted([*(f"OEBPS/{h}" for h in hrefs.values()), "OEBPS/content.opf", "mimetype", "META-INF/container.xml"]) == sorted(names)
+        assert all(x.get("idref") in hrefs for x in opf.iter("{http://www.idpf.org/2007/opf}itemref"))
+        ncx = ElementTree.fromstring(file.read("OEBPS/toc.ncx").decode().encode())
+        assert all(f"OEBPS/{x.get('src')}" in names for x in ncx.iter("{http://www.daisy.org/z3986/2005/ncx/}content"))
+        shown = "".join(file.read(n).decode() for n in names if n.startswith("OEBPS/Text/"))
+        for _, _, _, name, *_ in (r for r in pics if r[0] == book):
+            assert file.read(f"OEBPS/Images/{name}") == name.encode() * 9
+            assert shown.count(f"../Images/{name}\"") == (0 if name in ("cover.png", "d1.jpg") else 1), name
+    text = [found["b"].read(n).decode() for n in found["b"].namelist() if "OEBPS/Text/0" in n]
+    assert found["b"].read("OEBPS/Images/cover.jpg") == b"cover.png" * 9 and "cover.jpg" in found["b"].read("OEBPS/Text/Portada.xhtml").decode()
+    assert all("".join(text).count(w) == 1 for w in ("Primero", "Segundo", "Tercero", "five.jpg"))
+    assert "Mi &lt;Libro&gt;" in found["b"].read("OEBPS/content.opf").decode() and "p1.jpg" in (pair := found["b"].read("OEBPS/Text/img_001.xhtml").decode()) and "p2.jpg" in pair and "Pie &amp; dos" in pair
+    assert "Solo una página." in found["c"].read("OEBPS/Text/001.xhtml").decode()
+
+
 def test_config_order():
     found = config.load('{"ocr_psm": 6, "ocr_mode": "force", "other": 1}', {"ocr_mode": "auto", "lang": None})
     assert (found.ocr_psm, found.ocr_mode, found.lang) == (6, "auto", "es")
