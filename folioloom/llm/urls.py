@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import Shelf
 from .graph import components
 
@@ -61,15 +62,65 @@ def _node(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(tail == "", "/").otherwise(tail)))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value as written, quoted or not; empty if there is none."""
+    form = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*(F.regexp_extract(tag, form, k) for k in (1, 2, 3)))
+
+
+def unescape(text: Column) -> Column:
+    """Without the escapes of numbers and of & < > quotes, each read once."""
+    held = "\x01"
+
+    def put(out: Column, code: Column) -> Column:
+        digits = F.regexp_extract(code, "(?i)^&#x?([0-9a-f]+);$", 1)
+        number = F.when(F.lower(F.substring(code, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        known = lambda point: point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        sign = lambda point: F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return let(number, lambda point: F.when(known(point), F.replace(out, code, F.when(point == 38, held).otherwise(sign(point)))).otherwise(out))
+
+    numbers = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit("(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(0)), x, put)
+    out = let(F.replace(text, F.lit("&amp;"), F.lit(held)), numbers)
+    for code, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return F.replace(out, F.lit(held), F.lit("&"))
+
+
+def _without_dots(url: Column) -> Column:
+    """url with "." and ".." taken out of its path."""
+    step = lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(s)))
+    root, tail = F.regexp_extract(url, "^[^:/?#]*://[^/?#]*", 0), F.regexp_extract(url, "[?#].*$", 0)
+    parts = F.split(F.regexp_extract(url, "^[^:/?#]*://[^/?#]*([^?#]*)", 1), "/")
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), ends)
+    return F.when(url.rlike(r"^[^?#]*/\.{1,2}(/|\?|#|$)"), F.concat(root, F.array_join(kept, "/"), tail)).otherwise(url)
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The url that a target on a page of the url `base` means."""
+    return let(base, lambda x: let(to, lambda y: _resolved(x, y)))
+
+
+def _resolved(base: Column, to: Column) -> Column:
+    root, page = F.regexp_extract(base, "^[^:/?#]*://[^/?#]*", 0), F.regexp_extract(base, "^[^?#]*", 0)
+    folder = F.coalesce(F.nullif(F.regexp_extract(page, "^[^:/?#]*://[^/]*/(?:.*/)?", 0), F.lit("")), F.concat(root, F.lit("/")))
+    within = F.when(to.startswith("/"), F.concat(root, to)).when(to.startswith("?"), F.concat(page, to)).when(to.startswith("#"), F.concat(F.regexp_extract(base, "^[^#]*", 0), to)).otherwise(F.concat(folder, to))
+    return F.when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), to).otherwise(let(within, _without_dots))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b) for each canonical link and meta refresh of the pages' html, as graph nodes."""
+    """(a, b) for every canonical link and meta refresh of the pages' html, as graph nodes; targets are resolved against the page or its base element."""
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''")
-    root = F.regexp_extract("url", "^[^:/?#]*://[^/?#]*", 0)
-    to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(root, "to")).otherwise(F.col("to"))
-    return found.select(_node(F.col("url")).alias("a"), _node(to).alias("b")).where("a is not null and b is not null")
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    canonical = F.filter(tags("link"), lambda x: F.array_contains(F.split(F.lower(unescape(_attribute(x, "rel"))), r"\s+"), "canonical"))
+    refresh = F.filter(tags("meta"), lambda x: F.lower(F.trim(unescape(_attribute(x, "http-equiv")))) == "refresh")
+    said = lambda x: F.regexp_extract(unescape(_attribute(x, "content")), r"(?is)^\s*+[0-9.]*+\s*+[;,]?\s*+(?:url\s*=\s*)?+[\"']?([^\"'\s>]+)", 1)
+    bare = lambda x: unescape(F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    targets = F.concat(F.transform(canonical, lambda x: F.trim(unescape(_attribute(x, "href")))), F.transform(refresh, lambda x: F.when(x.rlike(r"(?is)\scontent\s*=\s*[\"']"), said(x)).otherwise(bare(x))))
+    based = F.trim(unescape(_attribute(F.coalesce(F.get(tags("base"), 0), F.lit("")), "href")))
+    found = pages.where(html.rlike("(?i)canonical|http-equiv|&#")).select(url.alias("url"), based.alias("based"), F.explode(targets).alias("to")).where("to <> ''")
+    base = F.when(F.col("based") != "", resolved(F.col("url"), F.col("based"))).otherwise(F.col("url"))
+    return found.select(_node(F.col("url")).alias("a"), let(resolved(base, F.col("to")), _node).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, default: str = ALLOW) -> DataFrame:

@@ -48,6 +48,25 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), queries.RULES).count() == 0
 
 
+def test_every_link_form(spark):
+    rows = [
+        ('<link rel="canonical" href="/1"><link rel=canonical href=http://b.com/2>', {"x.net/1", "b.com/2"}),
+        ('<link rel="alternate" href="/no"><LINK href=\'q?a=1&amp;b=&#50;&#x33;\' rel=\'shortlink Canonical\'>', {"x.net/d/q?a=1&b=23"}),
+        ('<link data-rel="canonical" href="/no"><link rel="canonical" href="../up/./z?k=..">', {"x.net/up/z?k=.."}),
+        ('<meta http-equiv="refresh" content="0; url=\'e\'"><meta http-equiv=refresh content=5;url=//c.org/f><meta http-equiv="refresh" content="30">', {"x.net/d/e", "c.org/f"}),
+        ('<meta content="1; http://b.com/&amp;lt;" http-equiv="Refresh">', {"b.com/&lt;"}),
+        ('<base href="http://o.net/p/"><link rel="canonical" href="r"><link rel="canonical" href="?s">', {"o.net/p/r", "o.net/p/?s"}),
+        ('<link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href=""><link rel="canonical">', set()),
+        ('<link rel="canonical" href="http://b.com/&#241;&#99999999;&#1114112;">', {"b.com/ñ&"}),
+    ]
+    for k, (html, want) in enumerate(rows):
+        pages = spark.createDataFrame([("http://X.net/d/page?q=/a/b", html)], "url string, html string")
+        got = urls.page_links(pages).collect()
+        assert {r.b for r in got} == want and all(r.a == "x.net/d/page?q=/a/b" for r in got), k
+    bare = spark.createDataFrame([("http://x.net?a/b", '<link rel="canonical" href="y">')], "url string, html string")
+    assert urls.page_links(bare).first().b == "x.net/y"
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 @pytest.mark.parametrize("name", [*queries.oracle_sql()])
 def test_matches_sql(spark, name):
