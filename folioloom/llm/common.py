@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and Python; records alone don't bound batches of long texts.
+ARROW_BYTES = "8m"
+#: Bytes of text that Python works on at a time.
+BATCH_BYTES = 1_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session has its own bound below Spark's default of a gigabyte or more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(key, None)
+    if said is None or said in ("-1", "-1b", "0", "0b") or len(said.rstrip("bB")) > 9:
+        spark.conf.set(key, ARROW_BYTES)
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches that are bounded by bytes."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def batches(rows: Iterator[pa.RecordBatch], text: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the Arrow batches with about limit bytes in the column number `text`, one row at least."""
+    for batch in rows:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            base = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="folioloom-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         folder = f"file://{made}"

@@ -26,23 +26,26 @@ def components(shelf: Shelf, edges: DataFrame) -> DataFrame:
     step = shelf.put(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
-    while True:
-        mark = step.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("x")).first()
-        if mark.n == 0 or tuple(mark) == seen:
-            break
-        seen = tuple(mark)
+    n = step.count()
+    while n:
         both = step.unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(shelf, both)
         large = shelf.put(
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         )
-        shelf.drop(least), shelf.drop(step)
+        shelf.drop(least)
         least = _least(shelf, large)
+        before, n_before = step, n
         step = shelf.put(
             large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
             .select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct()
         )
         shelf.drop(least), shelf.drop(large)
+        # Both sides are distinct rows: as many, and none of them new, means that nothing changed.
+        n = step.count()
+        done = n == n_before and step.join(before, ["u", "v"], "left_anti").isEmpty()
+        shelf.drop(before)
+        if done:
+            break
     roots = step.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return shelf.put(step.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import batches
+from .common import batches, mapped
 
 PER_LANGUAGE, BUCKETS, DIMENSION = 700, 1 << 14, 16
 EPOCHS, RATE, RETAINED = 4, 4.0, 0.999
@@ -152,7 +152,7 @@ def _predicted(model: Model):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and rejected for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double, rejected boolean")
+    return mapped(docs, _predicted(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
@@ -164,4 +164,4 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.predict(x) for x in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([k != UNKNOWN and p >= model.bound for k, p in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, shuffle_partitions
-from .near_dedup import batches
+from .common import Shelf, batches, mapped, shuffle_partitions
 
 UNIT, RATE = 64, 8000
 SCHEME = "sha256:"
@@ -166,8 +165,8 @@ def _once(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_store(docs: DataFrame, shelf: Shelf) -> DataFrame:
     """(digest, media): the stored forms of the texts of docs (doc_id, text), written once a digest and bucketed by it."""
     n = shuffle_partitions(docs.sparkSession)
-    packed = docs.mapInArrow(_packed, "digest string, packed binary")
-    return shelf.put_bucketed(packed.repartition(n, "digest").mapInArrow(_once, "digest string, media binary"), n, "digest")
+    packed = mapped(docs, _packed, "digest string, packed binary")
+    return shelf.put_bucketed(mapped(packed.repartition(n, "digest"), _once, "digest string, media binary"), n, "digest")
 
 
 _FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, position int"
@@ -194,6 +193,6 @@ def document_media(docs: DataFrame) -> DataFrame:
     """Each row of docs (doc_id, text) as a page with its text as a medium, captioned with its size, and resolved: facts of the bytes that the digest join brings."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
     store = media_store(docs, Shelf(docs.sparkSession))
-    pages = docs.mapInArrow(_pages, "page_id long, html string")
+    pages = mapped(docs, _pages, "page_id long, html string")
     found = resolve(sequences(pages), store).where("kind = 'media'")
     return found.select(F.col("page_id").alias("doc_id"), F.col("text").cast("long").alias("n_bytes"), "position", "digest", "media").mapInArrow(_facts, _FACTS)

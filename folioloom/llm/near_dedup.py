@@ -10,13 +10,12 @@ in size by a bounded factor, so a set near a change of the number of buckets
 signs for both.  Bands of 5 compressed registers are the keys of candidates.
 
 Pairs are never listed within a group of copies: equal sets are one class from
-the start; each key's members are then tested against its least member alone;
-only members that connected components leave in different components are
-paired.  The documents of keys with many such components (a passage that many
-documents share) are paired by an exact prefix filter on their rarest shingles
-instead.  Estimates corrected for collisions drop pairs that are far below the
-threshold; the rest are confirmed on full sets.  A pair at exactly
-0.8 shares no band with a probability of 2e-9.
+the start; each key's members are then tested against its least member of about
+their size.  Only documents of keys whose members connected components leave in
+different components go on: an exact prefix filter with positional bounds pairs
+those of different components.  Estimates corrected for collisions drop pairs
+that are far below the threshold; the rest are confirmed on full sets.  A pair
+at exactly 0.8 shares no band with a probability of 2e-9.
 
 Null text, empty text and text without words: no shingles, linked with
 nothing.  Null doc_id: the row stays alone, component null and kept.  Rows with
@@ -29,38 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf, small_enough
+from .common import Shelf, batches, mapped, small_enough
 from .graph import components
 from .shingles import _ODD, Hasher, mix
+from .worker import kept
 
 REGISTERS, WIDTH, MANTISSA, MOST_ZEROS = 256, 5, 12, 14
 BANDS = REGISTERS // WIDTH
-#: Documents of keys with more members than this are paired by their rarest shingles.
-LARGE_KEY = 48
-#: At most so many document ids are broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-BATCH_BYTES = 4_000_000
+#: At most so many document ids are broadcast (up to 67 bytes each as a hash table); more are joined by shuffle.
+BROADCAST_IDS = 500_000
+#: Sizes of sets in one class differ by less than this factor; pairs are sought class by class.
+STEP = 1.02
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _SALT = _RNG.integers(1, 2**63, REGISTERS, dtype=np.uint64)
 _FACTOR = _RNG.integers(1, 2**62, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def batches(rows: Iterator[pa.RecordBatch], text: int, limit: int = BATCH_BYTES):
-    """Slices of the Arrow batches with about limit bytes of text each."""
-    for batch in rows:
-        size = np.cumsum([0 if x is None else len(x) for x in batch.column(text).to_pylist()])
-        at = 0
-        while at < batch.num_rows:
-            base = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def buckets_for(n: int) -> int:
     return 1 << min(8, max(0, n.bit_length() - 4))
 
@@ -120,7 +107,7 @@ def _sign(size: int, percent: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        hasher = Hasher()
+        hasher = kept("hasher", Hasher)
         for batch in batches(rows, 1):
             ids, texts = batch.column(0), [x or b"" for x in batch.column(1).to_pylist()]
             count, digest, signs = [], [], []
@@ -135,14 +122,13 @@ def _sign(size: int, percent: int):
 
 def _bands(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        ids, signs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keys, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d, schemes in zip(ids, signs):
+        ids, sizes, signs = (batch.column(i).to_pylist() for i in range(3))
+        keys, owner, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d, n, schemes in zip(ids, sizes, signs):
             for s in schemes:
                 k = band_keys(np.frombuffer(s["registers"], np.uint16), s["buckets"])
-                keys.append(k)
-                owner.append(np.full(len(k), d, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], ["key", "doc"])
+                keys.append(k), owner.append(np.full(len(k), d, np.int64)), count.append(np.full(len(k), n, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owner, count)], ["key", "doc", "n"])
 
 
 def _estimated(percent: int):
@@ -165,10 +151,11 @@ def _estimated(percent: int):
 
 def _sets(size: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = kept("hasher", Hasher)
         for batch in batches(rows, 1):
-            out = [x.tobytes() for x in hasher.sets([x or b"" for x in batch.column(1).to_pylist()], size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "shingles"])
+            once = {*zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+            out = [x.tobytes() for x in hasher.sets([t or b"" for _, t in once], size)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in once], pa.int64()), pa.array(out, pa.binary())], ["doc", "shingles"])
 
     return run
 
@@ -195,59 +182,78 @@ class _Links:
     def of(self, pairs: DataFrame) -> DataFrame:
         signs = self.signed.select(F.col("doc_id").alias("doc"), "n_shingles", "signs")
         side = lambda x: signs.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signs").alias(f"signs_{x}"))
-        likely = self.shelf.put(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_estimated(self.percent), "a long, b long").distinct())
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        wanted = self.shelf.put(wanted)
-        hint = F.broadcast if small_enough(wanted, BROADCAST_IDS) else (lambda x: x)
-        sets = self.shelf.put(self.docs.join(hint(wanted), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sets(self.size), "doc long, shingles binary"))
+        likely = self.shelf.put(mapped(pairs.join(side("b"), "b").join(side("a"), "a"), _estimated(self.percent), "a long, b long").distinct())
+        wanted = self.shelf.put(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        sets = self.shelf.put(mapped(_texts(self.docs, wanted), _sets(self.size), "doc long, shingles binary"))
         side = lambda x: sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"shingles_{x}"))
-        links = self.shelf.put(likely.join(side("b"), "b").join(side("a"), "a").mapInArrow(_confirmed(self.percent), "a long, b long").distinct())
+        links = self.shelf.put(mapped(likely.join(side("b"), "b").join(side("a"), "a"), _confirmed(self.percent), "a long, b long").distinct())
         for x in (likely, wanted, sets):
             self.shelf.drop(x)
         return links
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text as bytes) of the wanted doc_ids, and what columns they bring; broadcast only if they are few."""
+    few = small_enough(wanted, BROADCAST_IDS)
+    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), *(c for c in wanted.columns if c != "doc_id"))
+
+
 def _exploded(size: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = kept("hasher", Hasher)
         for batch in batches(rows, 1):
             found = [*hasher.sets([x or b"" for x in batch.column(1).to_pylist()], size)]
             count = np.array([len(x) for x in found], np.int64)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), count)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(count, count)), pa.array(np.concatenate(found).view(np.int64))], ["doc", "n", "shingle"])
+            ids, c = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), count) for i in (0, 2))
+            part = np.repeat(np.array([int(np.bitwise_xor.reduce(x)) if len(x) else 0 for x in found], np.uint64).view(np.int64), count)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, c, part, np.repeat(count, count), np.concatenate(found).view(np.int64))], ["doc", "c", "part", "n", "shingle"])
 
     return run
 
 
-def _prefix_pairs(shelf: Shelf, docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Candidates (a, b) among the documents of large keys, rows (key, doc, c), by an exact prefix filter.
+def _common(n: str, m: str, percent: int) -> Column:
+    """The least number of common shingles of linked sets of n and m."""
+    return F.ceil((F.expr(n) + F.expr(m)) * percent / (100 + percent))
+
+
+def _prefix_pairs(docs: DataFrame, of: DataFrame, shelf: Shelf, size: int, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components among the documents of (doc, c), by an exact prefix filter.
 
-    Linked sets share one of the rarest n - ceil(percent * n / 100) + 1 shingles
-    of both.  Shingles that one document alone has come first and need no join,
-    so a passage that many documents share makes no candidates of them.
+    Shingles of one component alone can't link two, so they stand first in each
+    document's order; the others follow, rarest first.  Linked sets of n and m
+    with k common shingles at least share one of the first n - k + 1 and m - k + 1
+    of their orders, so a passage or a template that many documents share makes no
+    candidates of those that differ in more than the threshold leaves.  Pairs are
+    not listed within the largest component of a shingle: the rest of its
+    documents meet all of them.
     """
-    of = shelf.put(rows.select("doc", "c").distinct())
-    hint = F.broadcast if small_enough(of, BROADCAST_IDS) else (lambda x: x)
-    texts = docs.join(hint(of.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
-    every = texts.mapInArrow(_exploded(size), "doc long, n long, shingle long")
-    shared = shelf.put(every.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
-    known = shelf.put(every.join(shared, "shingle"))
-    # A pair shares at most what the poorer has in shared shingles; that bounds the sizes of partners from above.
+    every = mapped(_texts(docs, of.withColumnRenamed("doc", "doc_id")), _exploded(size), "doc long, c long, part long, n long, shingle long")
+    mixed = shelf.put(every.groupBy("shingle").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle", "df"))
+    # Rows of one document that are equal count once; `part` tells different texts of one doc_id apart.
+    known = every.join(mixed, "shingle").repartition("doc", "part").dropDuplicates(["doc", "part", "shingle"])
+    shared = F.count("*").over(Window.partitionBy("doc", "part"))
+    place = F.row_number().over(Window.partitionBy("doc", "part").orderBy("df", "shingle")) + F.col("n") - F.col("shared")
+    # A pair shares at most what the poorer one has in mixed shingles; that bounds the sizes of partners from above.
     most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
-    counts = known.groupBy("doc").agg(F.first("n").alias("n"), F.count("*").alias("shared"))
-    counts = shelf.put(counts.withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * percent).drop("n"))
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("df", "shingle")) + F.col("n") - F.col("shared")
-    probes = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = known.join(counts, "doc").withColumn("place", place).where(F.col("place") <= probes)
-    prefix = shelf.put(prefix.join(of, "doc").select("shingle", "doc", "n", "c", "most", "place"))
-    # The longer one of a pair probes with its whole prefix, the shorter one is found by a shorter prefix.
-    step = lambda n: F.floor(F.log(n) / float(np.log(1.05))).cast("int")
-    least = F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100))
-    long = prefix.withColumn("size", F.explode(F.sequence(step(least), step(F.greatest(least, F.least("n", "most"))))))
-    short = prefix.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1).withColumn("size", step(F.col("n")))
-    a, b = (x.select("shingle", "size", *(F.col(k).alias(f"{k}_{y}") for k in ("doc", "n", "c", "most"))) for x, y in ((long, "a"), (short, "b")))
+    prefix = known.withColumn("shared", shared).withColumn("place", place).withColumn("most", most).withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100)))
+    prefix = prefix.where(F.col("most") >= F.col("least")).where(F.col("place") <= F.col("n") - _common("n", "least", percent) + 1)
+    prefix = shelf.put(prefix.select("shingle", "doc", "c", "n", "place", "most", "least"))
+
+    # The longer one of a pair looks through the classes of sizes that its partner can have; the shorter one is in one of them.
+    step = lambda n: F.floor(F.log(n) / float(np.log(STEP))).cast("int")
+    long = prefix.withColumn("class", F.explode(F.sequence(step(F.col("least")), step(F.greatest("least", F.least("n", "most"))))))
+    long = long.withColumn("from", F.greatest("least", F.floor(F.pow(F.lit(STEP), F.col("class")) * 0.999999))).where(F.col("place") <= F.col("n") - _common("n", "from", percent) + 1)
+    short = prefix.where(F.col("place") <= F.col("n") - _common("n", "n", percent) + 1).withColumn("class", step(F.col("n")))
+    sizes = short.groupBy("shingle", "class", "c").agg(F.count("*").alias("k"))
+    sizes = shelf.put(sizes.groupBy("shingle", "class").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi")))
+    a, b = (x.join(sizes, ["shingle", "class"]).select("shingle", "class", "main", "lo", "hi", *(F.col(k).alias(f"{k}_{y}") for k in ("doc", "n", "c", "most", "place"))) for x, y in ((long, "a"), (short, "b")))
+    a = a.where("lo < hi or lo <> c_a")
     fits = "c_a <> c_b and (n_b < n_a or n_b = n_a and doc_b < doc_a) and n_b <= most_a and n_a <= most_b"
-    return a.join(b, ["shingle", "size"]).where(fits).where(F.col("n_a") * percent <= F.col("n_b") * 100).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+    near = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b")) + 1 >= _common("n_a", "n_b", percent))
+    meet = lambda x, y: x.join(y.drop("main", "lo", "hi"), ["shingle", "class"]).where(fits).where(near)
+    # Of the pairs within a shingle's largest component, none is made: b of others meets every a, b of the largest every a of others.
+    found = meet(a, b.where("c_b <> main")).unionByName(meet(a.where("c_a <> main"), b.where("c_b = main")))
+    return found.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -256,44 +262,44 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     shelf = Shelf(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = shelf.put(
-        docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-            _sign(size, percent), "doc_id long, n_shingles long, digest binary, signs array<struct<buckets:int,registers:binary>>"
+        mapped(
+            docs.select("doc_id", F.col("text").cast("binary").alias("text")),
+            _sign(size, percent), "doc_id long, n_shingles long, digest binary, signs array<struct<buckets:int,registers:binary>>",
         )
     )
     linked = every.where("doc_id is not null and n_shingles > 0")
     classes = shelf.put(linked.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    signed = linked.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("doc_id", "n_shingles", "signs")
-    bands = shelf.put(signed.select("doc_id", "signs").mapInArrow(_bands, "key long, doc long"))
-    keys = shelf.put(bands.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key", "lo"))
-    members = shelf.put(bands.join(keys, "key"))
+    signed = linked.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
+    signed = shelf.put(signed.select("doc_id", "n_shingles", "signs"))
+    bands = shelf.put(mapped(signed.select("doc_id", "n_shingles", "signs"), _bands, "key long, doc long, n long"))
+    keys = bands.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
+    members = shelf.put(bands.join(shelf.put(keys), "key"))
     links = _Links(shelf, docs, signed, size, percent)
 
-    tested = shelf.put(members.where("doc <> lo").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct())
-    found = links.of(tested)
+    # Each member of a key is tested against the least one of about its size.
+    near = F.floor(F.log("n") / float(np.log(100 / percent)) * 2)
+    pivots = members.groupBy("key", near.alias("class")).agg(F.min(F.struct("doc", "n")).alias("p"), F.max("doc").alias("hi")).where("p.doc < hi")
+    pivots = pivots.select(F.col("key"), "class", F.col("p.doc").alias("a"), F.col("p.n").alias("m"))
+    tested = members.withColumn("class", near).join(shelf.put(pivots), ["key", "class"])
+    tested = tested.where("doc <> a").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    found = links.of(shelf.put(tested.select("a", F.col("doc").alias("b")).distinct()))
     joined = components(shelf, found)
-    rows = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    rows = shelf.put(rows)
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rows = shelf.put(rows.join(mixed, "key", "left_semi"))
-    large = shelf.put(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_KEY).select("key"))
-    # Linked sets differ in size by a bounded factor.
-    small = rows.join(large, "key", "left_anti")
-    sized = signed.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-    small = shelf.put(small.join(sized.join(small.select("doc").distinct(), "doc", "left_semi"), "doc"))
-    a, b = (small.select("key", F.col("doc").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-    pairs = a.join(b, "key").where(near).select("a", "b")
-    if not large.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(shelf, docs, rows.join(large, "key", "left_semi"), size, percent))
-    pairs = shelf.put(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        joined = components(shelf, shelf.put(found.unionByName(links.of(pairs))))
-
-    # A doc_id in several classes joins them: its class edges close over what the components found.
-    nodes = joined.withColumnRenamed("node", "rep").withColumnRenamed("component", "root")
-    owner = every.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left").join(nodes, "rep", "left")
-    owner = owner.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
-    return owner.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = shelf.put(members.select("key", "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c")))
+    mixed = shelf.put(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
+    apart = shelf.put(rows.join(mixed, "key", "left_semi").select("doc", "c").distinct())
+    if not apart.isEmpty():
+        pairs = shelf.put(_prefix_pairs(docs, apart, shelf, size, percent).distinct())
+        if not pairs.isEmpty():
+            joined = components(shelf, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.of(pairs)))
+
+    # A class without words or id is alone; the rest follow their class's least document.
+    owner = every.select("doc_id", "digest", "n_shingles")
+    nodes = joined.select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    roots = shelf.put(classes.join(nodes, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id")))
+    alone = F.col("digest").isNull() | F.col("doc_id").isNull()
+    out = owner.where(~alone).join(roots, "digest").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(owner.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import batches
+from .common import batches, mapped
 from .token_counts import byte_letters
 from .worker import kept
 
@@ -138,5 +138,5 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = END_ID) ->
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = docs.mapInArrow(_pieces(path, limit, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long")
+    pieces = mapped(docs, _pieces(path, limit, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long")
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})

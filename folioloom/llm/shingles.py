@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Keeps the powers of the polynomial base between batches."""
+    """Keeps the powers of the polynomial base between batches; one a worker is enough."""
 
     def __init__(self) -> None:
         self.up = self.down = np.zeros(0, np.uint64)
@@ -40,19 +40,27 @@ class Hasher:
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each word of the texts, and the number of words before each text (one more at the end)."""
         data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-        if len(self.up) < len(data) + 1:
-            self.up, self.down = powers(_BASE, len(data) * 5 // 4 + 1), powers(_BASE_INVERSE, len(data) * 5 // 4 + 1)
         gap = np.empty(len(data) + 2, bool)
         gap[0] = gap[-1] = True
         np.take(_GAP, data, out=gap[1:-1])
         begin = np.flatnonzero(gap[:-1] & ~gap[1:])
         end = np.flatnonzero(~gap[:-1] & gap[1:])
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[data]] * self.up[: len(data)], out=total[1:])
-        value = (total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64)
+        value, at = np.empty(len(begin), np.uint64), 0
+        while at < len(begin):  # a megabyte at a time, more only for a longer word
+            low = begin[at]
+            to = max(at + 1, int(np.searchsorted(end, low + 1_000_000, "right")))
+            value[at:to] = self._values(data[low : end[to - 1]], begin[at:to] - low, end[at:to] - low)
+            at = to
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         return mix(value), np.searchsorted(begin, starts)
 
+    def _values(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.up) < len(data) + 1:
+            self.up, self.down = powers(_BASE, len(data) + 1), powers(_BASE_INVERSE, len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[_LOWER[data]] * self.up[: len(data)], out=total[1:])
+        return (total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64)
+
     def sets(self, texts: list[bytes], size: int):
         """For each text the sorted distinct hashes of its shingles of size words; with fewer words, of them all."""
         word, first = self.words(texts)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import batches
+from .common import batches, mapped
 from .worker import kept
 
 REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
@@ -210,4 +210,4 @@ def _counts(path: str, pattern: str, budget: int):
 def count_tokens(docs: DataFrame, path: str, pattern: str, budget: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and fits_chars (the characters within the budget) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_counts(path, pattern, budget), "doc_id long, n_bytes long, n_tokens long, fits_chars long")
+    return mapped(docs, _counts(path, pattern, budget), "doc_id long, n_bytes long, n_tokens long, fits_chars long")

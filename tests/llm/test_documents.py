@@ -64,10 +64,8 @@ def bag(text, size):
     return set(zip(*(w[i:] for i in range(size)))) if len(w) >= size else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("large", [2, 48])
-def test_near_duplicates(docs, monkeypatch, large):
-    monkeypatch.setattr(near_dedup, "LARGE_KEY", large)
-    rows = {d: bag(t, 4) for d, t, *_ in made() if d is not None}
+def components_of(rows):
+    """Least linked id of each id by brute force over all pairs."""
     root = {d: d for d in rows}
 
     def find(x):
@@ -80,13 +78,51 @@ def test_near_duplicates(docs, monkeypatch, large):
         if common and 100 * common >= 80 * len(rows[a] | rows[b]):
             x, y = sorted((find(a), find(b)))
             root[y] = x
+    return {d: find(d) for d in rows}
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_near_duplicates(docs, monkeypatch, broadcast):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast)
+    rows = {d: bag(t, 4) for d, t, *_ in made() if d is not None}
+    least = components_of(rows)
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == docs.count()
     for r in got:
         if r.doc_id is None:
             assert r.component_id is None and r.kept
         else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(rows[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+            assert (r.n_shingles, r.component_id, r.kept) == (len(rows[r.doc_id]), least[r.doc_id], least[r.doc_id] == r.doc_id)
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_around_the_threshold(spark, size):
+    """A template with few and many changed words, a passage in many documents, and chains: links of brute force, none lost."""
+    rng = random.Random(size)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    say = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    template, passage, texts = say(100), say(60), []
+    for k in range(160):
+        w = [*template]
+        for i in rng.sample(range(100), rng.randint(1, 5)):
+            w[i] = rng.choice(vocabulary)
+        texts.append(w)
+    texts += [say(rng.randint(2, 9)) + passage + say(rng.randint(2, 9)) for _ in range(120)]
+    for k in range(40):
+        w = say(rng.randint(5, 60))
+        texts += [w, w[: len(w) * 17 // 20], w[: len(w) * 14 // 20]]
+    rows = {k: " ".join(w) for k, w in enumerate(rng.sample(texts, len(texts)))}
+    docs = spark.createDataFrame([*rows.items(), (3, rows[3])], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, size).collect()}
+    assert got == components_of({d: bag(t, size) for d, t in rows.items()})
+
+
+def test_words_of_long_texts():
+    text = ("palabra " * 300_000 + "x" * 1_500_000 + " fin de todo esto\t" + "uno dos " * 100).encode()
+    word, first = near_dedup.Hasher().words([b"fin de", text])
+    short, _ = near_dedup.Hasher().words([b"fin de palabra uno dos"])
+    assert first.tolist() == [0, 2, 2 + 300_000 + 1 + 4 + 200] and word[:2].tolist() == short[:2].tolist() == word[300_003:300_005].tolist()
+    assert set(word[2:300_002].tolist()) == {int(short[2])} and word[-2:].tolist() == short[3:].tolist()
 
 
 def test_estimates_are_close():
