@@ -22,17 +22,17 @@ def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at the ends, Unicode's included; null stays null."""
-    return F.regexp_replace(text, f"^[{P.SPACE}]+|[{P.SPACE}]+$", "")
+    return F.btrim(text, F.lit(P.SPACES))
 
 
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"[{P.SPACE}]+", " "))
+    """Stripped, each run of white space one space; most texts have nothing but single spaces."""
+    return F.trim(F.when(text.rlike(f"{P.ODD_SPACE}| [{P.SPACE}]"), F.regexp_replace(text, f"[{P.SPACE}]+", " ")).otherwise(text))
 
 
 def lines(text: Column) -> Column:
     """The lines of a text at any Unicode line end, without an empty one after the last; null has none."""
-    found = F.split(text, P.BREAK, -1)
-    found = F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+    found = let(F.split(text, P.BREAK, -1), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
@@ -41,11 +41,12 @@ def words(text: Column) -> Column:
 
 
 def heading_text(text: Column) -> Column:
-    return F.regexp_replace(collapse(F.coalesce(text, F.lit(""))), f"^[{P.DECOR}]+|[{P.DECOR}]+$", "")
+    return F.btrim(collapse(F.coalesce(text, F.lit(""))), F.lit(P.DECORATION))
 
 
 def is_structural(text: Column) -> Column:
-    return matches(heading_text(text), P.STRUCTURAL)
+    """Whether a text starts as a heading does; its first letter rules out most texts at once."""
+    return F.when(text.rlike(P.STRUCTURAL_START), matches(heading_text(text), P.STRUCTURAL)).otherwise(False)
 
 
 def is_subtitle(text: Column, profile: Profile = DEFAULT) -> Column:
@@ -133,7 +134,9 @@ def header_footer_form(line: Column) -> Column:
     phrase = lambda s: F.regexp_replace(s, f"(?iu)(?<![{P.WORD}])(p[áa]g(?:ina)?\\.? *)[0-9]{{1,4}}(?![{P.WORD}])", "$1<PAGE_NUM>")
     page = lambda m: F.when(m.rlike(P.PAGE_LINE), F.regexp_replace(m, "[0-9]{1,4} *$", "<PAGE_NUM>")).otherwise(m)
     numbers = lambda m: collapse(F.regexp_replace(m, f"(?<![{P.WORD}])[0-9]{{1,4}}(?![{P.WORD}])", "<PAGE_NUM>"))
-    return let(collapse(F.coalesce(line, F.lit(""))), lambda s: let(let(phrase(s), page), lambda m: let(numbers(m), lambda last: finish(s, m, last))))
+    full = lambda s: let(let(phrase(s), page), lambda m: let(numbers(m), lambda last: finish(s, m, last)))
+    # Without a digit or a mark there is nothing to replace.
+    return let(collapse(F.coalesce(line, F.lit(""))), lambda s: F.when(s.rlike("[0-9]") | s.contains("<PAGE_NUM>"), full(s)).when(is_structural(s), "").otherwise(s))
 
 
 def is_page_number(line: Column) -> Column:
@@ -142,11 +145,11 @@ def is_page_number(line: Column) -> Column:
 
 def is_page_phrase(line: Column) -> Column:
     """Phrases that a cleaned line may not hold, wherever it stands."""
-    return matches(line, P.PAGE_PHRASE) | matches(line, P.SHORT_PAGE_PHRASE) | line.rlike(P.DASHED_NUMBER) | line.rlike(P.PAGE_LINE)
+    return line.rlike("[0-9]") & (matches(line, P.PAGE_PHRASE) | matches(line, P.SHORT_PAGE_PHRASE) | line.rlike(P.DASHED_NUMBER) | line.rlike(P.PAGE_LINE))
 
 
 def is_variable_border(line: Column) -> Column:
-    return matches(line, P.PAGE_PHRASE) | matches(line, P.SHORT_PAGE_PHRASE) | is_page_number(line) | line.rlike(P.DASHED_NUMBER)
+    return line.rlike("[0-9]") & (matches(line, P.PAGE_PHRASE) | matches(line, P.SHORT_PAGE_PHRASE) | is_page_number(line) | line.rlike(P.DASHED_NUMBER))
 
 
 def toc_score(text: Column, profile: Profile = DEFAULT) -> Column:

@@ -58,13 +58,19 @@ DEFAULT = Profile()
 
 # Character classes and vocabularies, in a spelling that Java's and RE2's regular expressions share.
 SPACE = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: White space but the space itself; the ordinary ASCII characters are ruled out first, which is quicker.
+ODD_SPACE = rf"[^ -~&&[{SPACE}]]"
 WORD = r"\p{L}\p{N}_"
 BREAK = r"\r\n|[\n\x{0B}\x{0C}\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 DECOR = r"\-—–―| "
+DECORATION = "-—–―| "
 LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
 ALLOWED = LETTERS + r"0-9" + SPACE + r".,;:!?¡¿()\[\]{}\-—–_\"'/%&@#=+*…ºª€$"
 SUSPICIOUS = r"*\[\]{}|\\`~^<>"
 STRUCTURAL = r"^(cap[ií]tulo|chapter|parte|pr[oó]logo|prologue|ep[ií]logo|afterword|short +story|palabras del autor|agradecimientos?|acknowledgements?)([^\p{L}\p{N}_]|$)"
+#: What stands before the first letter of a structural heading, and that letter (ſ is an s in any case).
+STRUCTURAL_START = f"^[{SPACE}{DECOR}]*[CcPpEeAaSsſ]"
 NO_SUBTITLE = r"^(cap[ií]tulo|chapter|parte|pr[oó]logo|ep[ií]logo|afterword|short +story)([^\p{L}\p{N}_]|$)"
 TITLED = r"^[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñ]+"
 PAGE_LINE = r"^[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9 .:'’_\-]{3,80} *\| *[0-9]{1,4}$"

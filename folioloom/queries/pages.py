@@ -8,7 +8,7 @@ from .. import profile as P
 from ..functions import text as T
 from ..operators import lines as L
 from ..operators import sections as S
-from ..sources.tables import book_pages, table
+from ..sources.tables import book_pages, spread, table
 from . import Query
 from . import sqltext as D
 from .sqltext import PAGES, Rows
@@ -46,7 +46,7 @@ def page_number_strip(spark, sf_dir):
 
 
 def visual_separator(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", T.is_separator(F.col("text")).alias("is_separator"), T.is_image_only(F.col("text")).alias("is_image_only"))
 
 
@@ -73,11 +73,11 @@ GARBAGE_SOURCE = "(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1
 def garbage_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     pages = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("html").alias("text"))
-    return docs.unionByName(pages).select("id", F.round(T.garbage_score(F.col("text")), 6).alias("score"))
+    return spread(docs.unionByName(pages)).select("id", F.round(T.garbage_score(F.col("text")), 6).alias("score"))
 
 
 def ocr_decision(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     d = docs.select("doc_id", T.ocr_decision(F.col("text"), mode="auto").alias("d"))
     return d.select("doc_id", "d.must_ocr", F.substring_index("d.reason", " (score", 1).alias("reason"), F.round("d.score", 6).alias("score"))
 
@@ -89,7 +89,7 @@ OCR_SQL = f"""SELECT id AS doc_id, length(cleaned) < 90 OR score >= 0.22 AS must
 
 def ocr_apply(spark, sf_dir):
     """Pages with another text where one is needed and recognition gave some; counts by book."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     must = T.ocr_decision(F.col("text"), mode="auto")["must_ocr"]
     read = F.when(F.col("doc_id") % 2 == 0, F.lit("recognized"))
     text = F.when(must, F.coalesce(F.nullif(read, F.lit("")), F.col("text"))).otherwise(F.col("text"))

@@ -1,5 +1,7 @@
 """Golden rows of the scalar functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,22 @@ def test_terminal_heading_needs_leave(spark):
     row = spark.createDataFrame([(["Epílogo"],)], "p array<string>")
     assert row.select(T.page_heading(F.col("p"), False).alias("h")).first().h is None
     assert row.select(T.page_heading(F.col("p"), True).alias("h")).first().h.kind == "epilogue"
+
+
+def test_white_space_forms(spark):
+    odd = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       　"
+    texts = [odd, f"{odd}a{odd}b c  d{odd}", "a b", " a", "​a​", "é　ñ", "", None, "—| Prólogo |—　", " capítulo 1"]
+    want = [" ".join(t.split()) if t is not None else None for t in texts]
+    assert column(spark, texts, T.collapse) == want
+    assert column(spark, texts, T.strip) == [t if t is None else t.strip() for t in texts]
+    assert column(spark, texts, T.is_structural) == [False] * 8 + [True, True]
+
+
+def test_numbered_pages_by_blocks(spark, monkeypatch):
+    from folioloom.sources import tables
+
+    rows = [(d, "ab"[d % 2] if d % 5 else None, f"t{d}") for d in random.Random(1).sample(range(200), 120)]
+    monkeypatch.setattr(tables, "NUMBERED", 16)
+    got = {(r.book_id, r.page_idx): r.raw_text for r in tables.book_pages(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    want = {(s, k): t for s in ("a", "b", None) for k, (_, t) in enumerate(sorted((d, t) for d, x, t in rows if x == s))}
+    assert got == want
