@@ -172,6 +172,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+#: All 50-byte windows as hex digits, the least document of each, and what the others' windows cover.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, 512 * c AS base, substr(h, 1024 * c + 1, 1122) AS g FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 511) // 512)) AS c FROM d)),
+w AS (SELECT doc_id, base + i AS i, substr(g, 2 * i + 1, 100) AS s FROM (SELECT doc_id, base, g, unnest(range(0, least(512, len(g) // 2 - 49))) AS i FROM part)),
+shared AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM w JOIN shared USING (s) WHERE doc_id > least),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hit),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS past FROM run),
+left_over AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, 2 * past + 1, 2 * (a - past)), '' ORDER BY a) AS before FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN left_over ON left_over.doc_id = d.doc_id
+"""
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -185,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_chat": OP6_SQL, "op7_urls": OP7_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_chat": OP6_SQL, "op7_urls": OP7_SQL, "op10_repeats": OP10_SQL}

@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -267,8 +268,16 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_repeats(docs, parts):
+@pytest.mark.parametrize("parts, hot, piece", [(1, 0, 10**6), (5, 0, 90), (5, 1, 10**6), (3, 2, 300)])
+def test_repeats(docs, monkeypatch, parts, hot, piece):
+    """hot: no anchor is, all are, or about half."""
+    from pyspark import cloudpickle
+
+    every = {int(a) for a in repeats._blocks([(t or "").encode() for _, t, *_ in made()])[4] & repeats._ANCHOR_BITS}
+    chosen = np.array(sorted(a for a in every if hot == 1 or hot == 2 and a % 2), np.uint64)
+    monkeypatch.setattr(repeats, "hot_anchors", lambda *x: chosen)
+    monkeypatch.setattr(repeats, "PIECE_BYTES", piece)
+    cloudpickle.register_pickle_by_value(repeats)  # so that workers see the lowered constant
     want = removed(made())
     got = repeats.remove_repeats(docs.repartition(parts, "digest")).collect()
     assert len(got) == docs.count()
@@ -277,6 +286,33 @@ def test_repeats(docs, parts):
             assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id], r.doc_id
         else:
             assert r.n_removed == 0
+    cloudpickle.unregister_pickle_by_value(repeats)
+
+
+def test_blocks_equal_by_hash_alone_are_kept_apart(monkeypatch):
+    """With a hash of blocks that says nothing, bytes and the sort still decide."""
+    real = repeats._piece_blocks
+    monkeypatch.setattr(repeats, "_piece_blocks", lambda texts: [*real(texts)[:5], real(texts)[5] & np.uint64(0)])
+    rng = np.random.default_rng(8)
+    say = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    passage = say(70)
+    texts = {k: say(40) + passage + say(40) for k in range(9)} | {20: passage + b"xyz"}
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts], pa.int64()), pa.array([*texts.values()], pa.binary())], ["doc_id", "text"])
+    sent = [*repeats._send(4, np.zeros(0, np.uint64))([batch])][0]
+    local = sent.filter(sent.column("doc").is_valid())
+    for d, start, size in zip(*(local.column(c).to_pylist() for c in ("doc", "start", "size"))):
+        assert any(texts[d][start : start + size] in texts[e] for e in texts if e < d)
+
+
+def test_hot_anchors_are_those_of_many_documents(spark):
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(200)
+    rows = [(k, say(100) + (passage if k % 3 == 0 else say(200))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    found = {int(x) for x in repeats.hot_anchors(docs, 10**6, 0.2)}
+    text, start, windows, offset, anchor, own = repeats._blocks([passage.encode()])
+    assert found and found <= {int(a) for a in anchor & repeats._ANCHOR_BITS}
 
 
 @pytest.mark.parametrize("place", [7, 8, 10])
