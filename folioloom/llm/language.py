@@ -32,7 +32,7 @@ from .common import batches, mapped
 PER_LANGUAGE, BUCKETS, DIMENSION = 700, 1 << 14, 16
 EPOCHS, RATE, RETAINED = 4, 4.0, 0.999
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+_PLAIN_LETTER = re.compile("[A-Za-z]").search
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[:0x41] = 0x20
@@ -41,6 +41,11 @@ _CLASS[0x7B:0x80] = 0x20
 _CLASS[0x41:0x5B] += 0x20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of Unicode's letter classes; digits, fractions and numerals are none."""
+    return bool(_PLAIN_LETTER(text)) or (not text.isascii() and any(map(str.isalpha, text)))
+
+
 def subwords(text: bytes) -> np.ndarray:
     """Bucket numbers of a text's byte n-grams; whatever is no letter counts as a gap."""
     data = np.frombuffer(b" " + text + b" ", np.uint8)
@@ -74,7 +79,7 @@ class Model:
         return (mean if few else mean @ self.weights) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         z = self.logits(subwords(text.lower().encode("utf-8", "surrogatepass"))) / self.temperature
         p = np.exp(z - z.max())
@@ -135,7 +140,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "lang", "text").collect()
-    chosen = sorted({(r.doc_id, r.lang, r.text) for r in chosen if _LETTER(r.text)})
+    chosen = sorted({(r.doc_id, r.lang, r.text) for r in chosen if has_letter(r.text)})
     return fit([r[2] for r in chosen], [r[1] for r in chosen])
 
 
@@ -160,7 +165,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in batches(rows, place):
             found = [model.predict(x) for x in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([k != UNKNOWN and p >= model.bound for k, p in found], pa.bool_()))
 

@@ -56,46 +56,72 @@ def decode(media: bytes) -> bytes:
 
 
 def feature(samples: bytes) -> str:
-    """Samples, mean and deviation from the middle, peak, crossings of the middle, and a 16-bin spectrum's strongest bin."""
+    """Samples, mean and deviation from the middle, peak, crossings of the middle, and the fullest of 16 equal ranges of values."""
     x = np.frombuffer(samples, np.uint8).astype(np.int16) - 128
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    power = np.bincount((x + 128) >> 4, minlength=16)
-    return f"{len(x)}:{x.mean():.4f}:{x.std():.4f}:{int(np.abs(x).max())}:{crossings}:{int(power.argmax())}"
+    ranges = np.bincount((x + 128) >> 4, minlength=16)
+    return f"{len(x)}:{x.mean():.4f}:{x.std():.4f}:{int(np.abs(x).max())}:{crossings}:{int(ranges.argmax())}"
 
 
 class _Items(HTMLParser):
-    """Collects texts and references in document order; a figure's caption goes to its reference."""
+    """Collects texts and references in document order.
+
+    A figcaption goes to the first reference of its figure, wherever it stands in
+    it; of a figure without one it is a text in its place.  A figure's end, or the
+    page's, ends a caption that was left open.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
-        self.silent = self.caption = 0
+        self.silent = 0
+        #: Of each open figure: its first reference, its captions (place, texts), and whether one is open.
+        self.figures: list[dict] = []
 
-    def add(self, kind: str, text: str, digest: str | None = None) -> None:
-        self.items.append({"position": len(self.items), "kind": kind, "text": text, "digest": digest})
+    def add(self, kind: str, text: str, digest: str | None = None) -> dict:
+        self.items.append({"kind": kind, "text": text, "digest": digest})
+        return self.items[-1]
 
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.silent += 1
-        elif tag == "figcaption":
-            self.caption += 1
+        elif tag == "figure":
+            self.figures.append({"media": None, "captions": [], "open": False})
+        elif tag == "figcaption" and self.figures:
+            self.figures[-1]["open"] = True
+            self.figures[-1]["captions"].append((len(self.items), []))
         elif tag in ("img", "audio", "video", "source"):
             said = dict(attrs)
             where = said.get("src") or ""
-            self.add("media", said.get("alt") or "", where[len(SCHEME) :] if where.startswith(SCHEME) else where)
+            if where or tag == "img":
+                found = self.add("media", said.get("alt") or "", where[len(SCHEME) :] if where.startswith(SCHEME) else where)
+                if self.figures and self.figures[-1]["media"] is None:
+                    self.figures[-1]["media"] = found
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption":
-            self.caption = max(0, self.caption - 1)
+        elif tag == "figcaption" and self.figures:
+            self.figures[-1]["open"] = False
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+
+    def end_figure(self) -> None:
+        figure = self.figures.pop()
+        for place, texts in reversed(figure["captions"]):
+            text = " ".join(texts)
+            if text and figure["media"] is None:
+                self.items.insert(place, {"kind": "text", "text": text, "digest": None})
+        if figure["media"] is not None:
+            own = figure["media"]["text"]
+            figure["media"]["text"] = " ".join(filter(None, [own, *(t for _, texts in figure["captions"] for t in texts)]))
 
     def handle_data(self, data):
         text = data.strip()
         if not text or self.silent:
             return
-        if self.caption and self.items and self.items[-1]["kind"] == "media":
-            self.items[-1]["text"] = f"{self.items[-1]['text']} {text}".strip()
+        if self.figures and self.figures[-1]["open"]:
+            self.figures[-1]["captions"][-1][1].append(text)
         elif self.items and self.items[-1]["kind"] == "text":
             self.items[-1]["text"] += " " + text
         else:
@@ -106,7 +132,9 @@ def parse(html: str | None) -> list[dict]:
     parser = _Items()
     parser.feed(html or "")
     parser.close()
-    return parser.items
+    while parser.figures:
+        parser.end_figure()
+    return [{"position": k, **item} for k, item in enumerate(parser.items)]
 
 
 def _parsed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,3 +140,8 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = END_ID) ->
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = mapped(docs, _pieces(path, limit, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long")
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Writes the sequences of pack() with those of one length in one folder (bucket=...), from which batches of equal lengths are read; nothing is shuffled."""
+    pieces.write.partitionBy("bucket").option("compression", "zstd").parquet(path)

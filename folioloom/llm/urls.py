@@ -141,5 +141,7 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     by_class = classes.select("component", said.alias("said")).groupBy("component").agg(F.max(F.col("said") == ALLOW).alias("allows"), F.max(F.col("said") == BLOCK).alias("blocks"))
     passed = F.when(F.col("allows"), ALLOW).when(F.col("blocks"), BLOCK)
     aliases = shelf.put(classes.join(by_class, "component").select("node", passed.alias("passed")))
-    out = judged.join(aliases, "node", "left")
+    # Pages with a rule of their own have no node; they stay out of the join, where one null key would hold them all.
+    own = judged.where("node is null").withColumn("passed", F.lit(None).cast("string"))
+    out = judged.where("node is not null").join(aliases, "node", "left").unionByName(own)
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "passed", F.lit(default)).alias("verdict"))

@@ -372,6 +372,71 @@ def test_media_sequences(spark):
     assert rows == [(1, 0, "text", "Uno dos tres", None, None), (1, 1, "media", "pie a", "aa", b"\1\2"), (1, 2, "text", "fin", None, None), (1, 3, "media", "z", "http://x/y.png", None)]
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<figure><img src="sha256:aa"></figure><figure><figcaption>pie de b</figcaption><img src="sha256:bb"></figure>', [("media", "", "aa"), ("media", "pie de b", "bb")]),
+        ("<figure><figcaption>sin <i>imagen</i></figcaption></figure><p>fin", [("text", "sin imagen fin", None)]),
+        ('<figure><img src="a" alt="uno"><figure><img src="b"><figcaption>dos</figcaption></figure><figcaption>tres</figcaption></figure>x', [("media", "uno tres", "a"), ("media", "dos", "b"), ("text", "x", None)]),
+        ('<figure><img src="a"><figcaption>abierto</figure>después', [("media", "abierto", "a"), ("text", "después", None)]),
+        ('<figure><img src="a"><img src="b"><figcaption>de a', [("media", "de a", "a"), ("media", "", "b")]),
+        ("<figcaption>suelto</figcaption></figure>", [("text", "suelto", None)]),
+        ('<video><source src="v"></video>', [("media", "", "v")]),
+    ],
+)
+def test_captions_stay_with_their_figures(html, want):
+    found = media.parse(html)
+    got = [(x["kind"], x["text"], x["digest"]) for x in found]
+    if want[0][1] == "sin imagen fin":
+        assert " ".join(t for _, t, _ in got) == "sin imagen fin" and all(k == "text" for k, *_ in got)
+    else:
+        assert got == want
+    assert [x["position"] for x in found] == list(range(len(found)))
+
+
+def test_language_against_a_plain_prediction(spark):
+    rng = random.Random(9)
+    stems = {"en": ["the", "tion", "and", "ing"], "es": ["ción", "que", "para", "ñ"], "de": ["ung", "sch", "der", "ß"]}
+    rows = [(k, " ".join(rng.choice(stems[x]) + rng.choice(stems[x]) for _ in range(rng.randint(1, 60))), x) for k in range(300) for x in [rng.choice(["en", "es", "de"])]]
+    rows += [(400, "½ ² Ⅷ ٣ 12", "en"), (401, "日本", None), (402, "ª", "es"), (403, "_", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    got = {r.doc_id: r for r in language.predict(docs, model).withColumn("held_out", language.fold(F.col("doc_id")) == 1).collect()}
+
+    def plain(text):
+        """The mean of the table's rows of a text's subwords, one by one, through the layer and the softmax."""
+        gap = lambda c: c < 0x41 or 0x5B <= c < 0x61 or 0x7B <= c < 0x80
+        b = [0x20 if gap(c) else c + 0x20 if c < 0x5B else c for c in b" " + text.lower().encode() + b" "]
+        odd, total, count = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.zeros(len(model.languages)), 0
+        for n in (1, 2, 3):
+            for i in range(len(b) - n):
+                h = b[i] * odd[0]
+                for j in range(1, n + 1):
+                    h = (h * odd[3] + b[i + j] * odd[j]) % 2**32
+                if b[i] != 0x20 or b[i + n] != 0x20:
+                    bucket = ((h ^ (h >> 15)) * 0x2C1B3C6D % 2**32) >> (32 - 14)
+                    total, count = total + model.table[bucket].astype(float) @ model.weights.astype(float), count + 1
+        z = (total / max(1, count) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        return model.languages[int(p.argmax())], float(p.max() / p.sum())
+
+    for d, text, _ in rows:
+        want = plain(text) if d not in (400, 403) else ("und", 0.0)
+        assert got[d].lang_pred == want[0] and abs(got[d].score - want[1]) < 1e-4, d
+        assert got[d].rejected == (want[0] == "und" or got[d].score < model.bound) and got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+    # What the model has learned doesn't hang on rows of the held-out fold.
+    other = docs.withColumn("lang", F.when(language.fold(F.col("doc_id")) == 1, "xx").otherwise(F.col("lang")))
+    again = language.train(other)
+    assert again.languages == model.languages and np.array_equal(again.table, model.table)
+
+
+def test_buckets_hold_one_length(spark, docs, tmp_path):
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 32)
+    packing.write_buckets(pieces, str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out")).groupBy("bucket").agg(F.min("length").alias("a"), F.max("length").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.a == r.b == 1 << r.bucket for r in found) and sum(r.n for r in found) == pieces.count()
+
+
 def test_empty_tables(spark, none, model):
     path = public_tokenizers.path("word_bpe_49k.json")
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -387,3 +452,37 @@ def test_stages_keep_columns(spark, docs, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:3]:
         out = stage(spark, rows, str(tmp_path))
         assert out.columns == docs.columns and 0 < out.count() <= rows.count()
+
+
+def test_pipeline_end_to_end(spark, docs, none, tmp_path):
+    """Every stage, with its decisions, over what its predecessor kept; and over nothing."""
+    rows = docs.where("doc_id is not null and doc_id <> 12")
+    item = next(t for d, t, *_ in made() if t and len(windows(t)) > 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = rows
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, kept, str(tmp_path)).cache()
+        if name == "language":
+            model = language.train(rows)
+            known = {r.doc_id for r in language.predict(rows, model).where("not rejected").collect()}
+            assert {r.doc_id for r in out.collect()} == known
+        if name == "near_duplicates":
+            least = components_of({r.doc_id: bag(r.text, 5) for r in kept.collect()})
+            assert sorted(r.doc_id for r in out.select("doc_id").distinct().collect()) == sorted(d for d in least if least[d] == d)
+        if name == "decontamination":
+            grams = {tuple(windows(item)[i : i + 13]) for i in range(len(windows(item)) - 12)}
+            hit = lambda t: {p for s in range(len(windows(t)) - 12) if tuple(windows(t)[s : s + 13]) in grams for p in range(s, s + 13)}
+            assert {r.doc_id for r in kept.collect() if hit(r.text) and 20 * len(hit(r.text)) >= len(windows(r.text))} == {r.doc_id for r in kept.collect()} - {r.doc_id for r in out.collect()}
+        if name == "private_data":
+            said, now = ({r.doc_id: r.text for r in x.collect()} for x in (kept, out))
+            assert said.keys() == now.keys() and any(base_spans(t) for t in said.values())
+            for d, t in said.items():
+                assert not any(t[int(a) : int(b)] in now[d] for a, b in (s.split(":")[1:] for s in base_spans(t)))
+        if name != "packing":
+            assert out.columns == docs.columns
+        kept = out
+    assert kept.count() > 0 and {"ids", "sequence_id", "offset"} <= set(kept.columns)
+    empty = none
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
