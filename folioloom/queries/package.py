@@ -9,8 +9,8 @@ from ..functions import markup as M
 from ..operators import package as K
 from ..operators import templates
 from ..profile import BREAK
-from ..plans.book import archive_of, unique_names
-from ..sources.tables import table
+from ..plans.book import archive_of, build, unique_names
+from ..sources.tables import book_pages, table
 from . import Query
 from .structure import TEXTS
 from .sqltext import Rows, q, strip
@@ -111,12 +111,28 @@ NCX_SQL = f"SELECT book_id, {_printf(templates.NCX, 'lang', 'uuid', _ESCAPE('tit
 
 
 def image_galleries(spark, sf_dir):
-    one = F.concat(F.lit('<img src="'), "name", F.lit('"/>'), F.when(F.col("caption") != "", F.concat(F.lit("<p>"), M.escape_xml(F.col("caption")), F.lit("</p>"))).otherwise(""))
-    body = F.array_join(F.array_sort(F.collect_list(F.struct("seq", one.alias("x"))))["x"], "\n")
-    return GALLERIES.frame(spark).groupBy("book_id", "pos").agg(F.format_string(templates.GALLERY, body).alias("body"), F.array_join(F.array_sort(F.collect_set(K.image_id(F.col("name")))), " ").alias("ids"))
-
-
-GALLERY_SQL = f"""SELECT book_id, pos, {_printf(templates.GALLERY, "string_agg('<img src=\"' || name || '\"/>' || CASE WHEN caption <> '' THEN '<p>' || " + _ESCAPE('caption') + " || '</p>' ELSE '' END, chr(10) ORDER BY seq)")} AS body,
+    images = F.array_sort(F.collect_list(F.struct("seq", "name", "caption")))
+    return GALLERIES.frame(spark).groupBy("book_id", "pos").agg(K.gallery(images).alias("body"), F.array_join(F.array_sort(F.collect_set(K.image_id(F.col("name")))), " ").alias("ids"))
+
+
+#: The formats stand here once more in words of their own, so that a wrong one in the templates shows.
+_CAPTION = f"CASE WHEN caption <> '' THEN chr(10) || '<p class=\"centrado\"><i>' || {_ESCAPE('caption')} || '</i></p>' ELSE '' END"
+_PAGE = lambda lang, title, body: f"""'<?xml version="1.0" encoding="utf-8"?>
+<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.1//EN"
+  "http://www.w3.org/TR/xhtml11/DTD/xhtml11.dtd">
+
+<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="' || {lang} || '">
+<head>
+  <title>' || {title} || '</title>
+  <link href="../Styles/style.css" rel="stylesheet" type="text/css"/>
+</head>
+
+<body>
+' || {body} || '
+</body>
+</html>
+'"""
+GALLERY_SQL = f"""SELECT book_id, pos, '<div class="galeria">' || chr(10) || string_agg('<div class="dimg fullblock">' || chr(10) || '  <img alt="ilustración" src="../Images/' || name || '"/>' || chr(10) || '</div>' || {_CAPTION}, chr(10) ORDER BY seq) || chr(10) || '</div>' AS body,
   string_agg('img-' || replace(name, '.', '-'), ' ' ORDER BY name) AS ids FROM {GALLERIES.sql} GROUP BY book_id, pos"""
 
 
@@ -152,8 +168,27 @@ def job_status(spark, sf_dir):
 
 
 def epub_archive(spark, sf_dir):
-    """Archives of the first fragments: each with its mimetype first; sizes of the files inside."""
-    return archive_of(fragment_html(spark, sf_dir)).select("book_id", (F.length("archive") > 0).alias("made"))
+    """The files of the archive of the fragments, read back: place, way of storing and hash of each."""
+    return K.archive_entries(archive_of(fragment_html(spark, sf_dir))).select("book_id", "seq", "path", "stored", F.sha2("content", 256).alias("sha256"))
+
+
+ARCHIVE_SQL = f"""WITH t AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY pos) AS INT) AS n, body FROM ({FRAGMENT_SQL})),
+  f(k, path, stored, content) AS (VALUES (0, 'mimetype', true, 'application/epub+zip'), (1, 'META-INF/container.xml', false, '<?xml version="1.0" encoding="utf-8"?>
+<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container">
+  <rootfiles>
+    <rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/>
+  </rootfiles>
+</container>
+'), (2, 'OEBPS/Styles/style.css', false, {q(templates.STYLE)}))
+  SELECT book_id, CAST(k AS INT) AS seq, path, stored, sha256(content) AS sha256 FROM (SELECT DISTINCT book_id FROM t), f
+  UNION ALL SELECT book_id, n + 2, 'OEBPS/Text/' || lpad(CAST(n AS VARCHAR), 3, '0') || '.xhtml', false, sha256({_PAGE("'es'", 'book_id', 'body')}) FROM t"""
+
+
+def book_archives(spark, sf_dir):
+    """The whole job: every document a page, every source a book; the files of each archive, read back."""
+    none = spark.createDataFrame([], "book_id string, page_idx int, img_no int, name string, is_full_page boolean, caption string")
+    made = build(book_pages(table(spark, sf_dir, "documents")), none)
+    return K.archive_entries(made).select("book_id", "path", "stored", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def cover_pages(spark, sf_dir):
@@ -161,15 +196,15 @@ def cover_pages(spark, sf_dir):
     return x.select("book_id", K.cover_page(F.col("lang"), F.col("book_id") == "b", F.col("title"), F.col("author")).alias("page"))
 
 
-_COVER_BODY = f"CASE WHEN book_id = 'b' THEN {q(templates.COVER)} ELSE '<h1>' || {_ESCAPE('title')} || '</h1>' || chr(10) || '<h2>' || {_ESCAPE('author')} || '</h2>' END"
+_COVER_BODY = f"""CASE WHEN book_id = 'b' THEN '<div class="cubierta">' || chr(10) || '  <img alt="portada" src="../Images/cover.jpg"/>' || chr(10) || '</div>'
+  ELSE '<h1 class="titulo">' || {_ESCAPE('title')} || '</h1>' || chr(10) || '<h2 class="subtitulo">' || {_ESCAPE('author')} || '</h2>' END"""
 
 
 def image_pages(spark, sf_dir):
     return GALLERIES.frame(spark).select("name", K.image_page(F.lit("es"), F.lit("Imagen"), F.col("name"), F.col("caption")).alias("page"))
 
 
-_SAID = f"CASE WHEN caption <> '' THEN chr(10) || '  <p class=\"centrado\"><i>' || {_ESCAPE('caption')} || '</i></p>' ELSE '' END"
-_IMAGE_BODY = _printf(templates.IMAGE_PAGE, "'Imagen'", "name", _SAID)
+_IMAGE_BODY = f"""'<div class="pagina">' || chr(10) || '  <div class="dimg fullblock">' || chr(10) || '    <img alt="ilustración" src="../Images/' || name || '"/>' || chr(10) || '  </div>' || {_CAPTION} || chr(10) || '</div>'"""
 
 
 def image_captions(spark, sf_dir):
@@ -186,8 +221,8 @@ def export_names(spark, sf_dir):
 
 
 QUERIES = {
-    "cover_pages": Query(cover_pages, f"SELECT book_id, {_printf(templates.CHAPTER, 'lang', q('Portada'), _COVER_BODY)} AS page FROM {BOOKS.sql}"),
-    "image_pages": Query(image_pages, f"SELECT name, {_printf(templates.CHAPTER, q('es'), q('Imagen'), _IMAGE_BODY)} AS page FROM {GALLERIES.sql}"),
+    "cover_pages": Query(cover_pages, f"SELECT book_id, {_PAGE('lang', q('Portada'), _COVER_BODY)} AS page FROM {BOOKS.sql}"),
+    "image_pages": Query(image_pages, f"SELECT name, {_PAGE(q('es'), q('Imagen'), _IMAGE_BODY)} AS page FROM {GALLERIES.sql}"),
     "image_captions": Query(image_captions, f"SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN '' ELSE array_to_string({_LINE_LIST}, ' ') END) AS md5 FROM documents"),
     "export_names": Query(export_names, f"SELECT id, coalesce(nullif(left(s, 80), ''), 'libro') || '.epub' AS name, '20240301-102030_' || coalesce(nullif(s, ''), 'libro') || '_' || left(sha1(CAST(id AS VARCHAR)), 6) AS job FROM (SELECT id, {_STEM} AS s FROM {STEMS.sql.replace('AS STRING', 'AS VARCHAR')})"),
     "xml_escape": Query(xml_escape, f"SELECT doc_id, md5({_ESCAPE('text')}) AS md5 FROM documents"),
@@ -204,5 +239,6 @@ QUERIES = {
     "unique_export": Query(unique_export, EXPORT_SQL),
     "job_summary": Query(job_summary, SUMMARY_SQL),
     "job_status": Query(job_status, SUMMARY_SQL.replace("GROUP BY", "WHERE source = 'src0' GROUP BY")),
-    "epub_archive": Query(epub_archive),
+    "epub_archive": Query(epub_archive, ARCHIVE_SQL),
+    "book_archives": Query(book_archives),
 }

@@ -8,6 +8,7 @@ from .. import profile as P
 from ..functions import text as T
 from ..operators import lines as L
 from ..operators import sections as S
+from ..sources.books import recognize
 from ..sources.tables import book_pages, spread, table
 from . import Query
 from . import sqltext as D
@@ -88,18 +89,17 @@ OCR_SQL = f"""SELECT id AS doc_id, length(cleaned) < 90 OR score >= 0.22 AS must
 
 
 def ocr_apply(spark, sf_dir):
-    """Pages with another text where one is needed and recognition gave some; counts by book."""
-    docs = spread(table(spark, sf_dir, "documents"))
-    must = T.ocr_decision(F.col("text"), mode="auto")["must_ocr"]
-    read = F.when(F.col("doc_id") % 2 == 0, F.lit("recognized"))
-    text = F.when(must, F.coalesce(F.nullif(read, F.lit("")), F.col("text"))).otherwise(F.col("text"))
-    return docs.select("source", must.alias("must"), (must & read.isNotNull()).alias("done"), F.length(text).alias("n")).groupBy(F.col("source").alias("book_id")).agg(
-        F.count_if("must").alias("n_must"), F.count_if("done").alias("n_replaced"), F.sum("n").alias("n_chars"))
+    """Pages with an engine's text where one is needed and it reads some; counts by book.  The pictures of even pages say what the engine reads."""
+    pages = _pages(spark, sf_dir).withColumn("must", T.ocr_decision(F.col("raw_text"), mode="auto")["must_ocr"])
+    pictures = pages.select("book_id", "page_idx", F.when(F.col("page_idx") % 2 == 0, "recognized").otherwise("").cast("binary").alias("png"))
+    read = recognize(pages, pictures, lambda png: bytes(png).decode(), F.col("must"))
+    return read.groupBy("book_id").agg(F.count_if("must").alias("n_must"), F.count_if("is_read").alias("n_replaced"), F.sum(F.length("raw_text")).alias("n_chars"))
 
 
-OCR_APPLY_SQL = f"""SELECT source AS book_id, count(*) FILTER (must) AS n_must, count(*) FILTER (must AND doc_id % 2 = 0) AS n_replaced,
-  CAST(sum(CASE WHEN must AND doc_id % 2 = 0 THEN 10 ELSE length(text) END) AS BIGINT) AS n_chars
-  FROM documents JOIN (SELECT doc_id AS d, must_ocr AS must FROM ({OCR_SQL})) ON d = doc_id GROUP BY source"""
+_PAGE_OCR = _garbage_sql(f"(SELECT book_id || ':' || page_idx AS id, raw_text AS text FROM {PAGES})")
+OCR_APPLY_SQL = f"""SELECT book_id, count(*) FILTER (must) AS n_must, count(*) FILTER (must AND page_idx % 2 = 0) AS n_replaced,
+  CAST(sum(CASE WHEN must AND page_idx % 2 = 0 THEN 10 ELSE length(raw_text) END) AS BIGINT) AS n_chars
+  FROM {PAGES} p JOIN (SELECT id, length(cleaned) < 90 OR score >= 0.22 AS must FROM ({_PAGE_OCR})) o ON o.id = book_id || ':' || page_idx GROUP BY book_id"""
 
 
 def page_lines(spark, sf_dir):

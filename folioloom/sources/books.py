@@ -50,7 +50,7 @@ def metadata(pages: DataFrame) -> DataFrame:
 
 
 def recognize(pages: DataFrame, images: DataFrame, engine: Callable[[bytes], str], must: F.Column) -> DataFrame:
-    """pages with the engine's text where `must` holds and it reads some; images: (book_id, page_idx, png)."""
+    """pages with the engine's text where `must` holds and it reads some, and whether it did (is_read); images: (book_id, page_idx, png)."""
     wanted = pages.where(must).select("book_id", "page_idx").join(images, ["book_id", "page_idx"]).repartition("book_id", "page_idx")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,4 +65,5 @@ def recognize(pages: DataFrame, images: DataFrame, engine: Callable[[bytes], str
 
     read = wanted.mapInPandas(run, "book_id string, page_idx int, read string")
     out = pages.join(read, ["book_id", "page_idx"], "left")
-    return out.withColumn("raw_text", F.coalesce(F.nullif("read", F.lit("")), "raw_text")).drop("read")
+    read = F.nullif("read", F.lit(""))
+    return out.withColumns({"raw_text": F.coalesce(read, "raw_text"), "is_read": read.isNotNull()}).drop("read")
