@@ -44,7 +44,7 @@ class Shelf:
         """The same as a table bucketed by key, which joins on key read without a shuffle."""
         self.count += 1
         name, path = f"shelf_{uuid.uuid4().hex}", f"{self.root}/{self.count:03d}"
-        df.write.format("parquet").bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+        df.write.format("parquet").bucketBy(buckets, key).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("path", path).saveAsTable(name)
         out = self.spark.table(name)
         out._shelf_path = path
         return out
