@@ -165,7 +165,7 @@ def _packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, packed): the stored form of each text, compressed for the shuffle, once a task."""
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=9).compress
     seen: set[str] = set()
     for batch in batches(rows, 1):
         digests, packed = [], []
