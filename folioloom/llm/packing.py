@@ -31,6 +31,8 @@ from .worker import kept
 
 #: Runs that a worker remembers; beyond that it starts anew.
 REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+#: Bytes of text whose runs are learned together.
+TEXT_BYTES = 4_000_000
 END_ID = 1
 
 
@@ -114,7 +116,7 @@ def _pieces(path: str, limit: int, end_id: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = kept("ids:" + path, lambda: Ids(path))
-        for batch in batches(rows, 1):
+        for batch in batches(rows, 1, TEXT_BYTES):
             owner, start, length, ids, total = [], [], [], [], []
             for k, x in enumerate(ids_of.of([x or "" for x in batch.column(1).to_pylist()])):
                 x += end
