@@ -52,7 +52,7 @@ class PrefixCounts(dict):
         self.leading, self.blank = regex.compile(r"\s*").match, regex.compile(r"\s+").fullmatch
         self.letters = str.maketrans({i: c for i, c in enumerate(byte_letters())})
         self.special = [x["content"] for x in said["added_tokens"] if x["special"]]
-        self.between = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
+        self.between = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).finditer if self.special else None
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in said["model"]["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
         self.tokens = {*byte_letters(), *("".join(m) for m in merges)} & said["model"]["vocab"].keys()
@@ -119,14 +119,11 @@ class PrefixCounts(dict):
 
     def pieces(self, text: str) -> Iterator[tuple[int, list[str]]]:
         """(characters of a special token before it, the pretokens) of each part of the text between special tokens."""
-        if self.between and any(x in text for x in self.special):
-            at = 0
-            for part in self.between(text):
-                mark = next((x for x in sorted(self.special, key=len, reverse=True) if at and text.startswith(x, at)), "")
-                yield len(mark), self.split(part)
-                at = at + len(mark) + len(part) if at or mark else len(part)
-        else:
-            yield 0, self.split(text)
+        at = mark = 0
+        for m in self.between(text) if self.between else ():
+            yield mark, self.split(text[at : m.start()])
+            at, mark = m.end(), m.end() - m.start()
+        yield mark, self.split(text[at:])
 
     def run_count(self, run: str) -> int:
         total = sum([self[x][-1] for x in self.split(" " + run)])
@@ -152,6 +149,21 @@ class PrefixCounts(dict):
         return sum(self[x][-1] for x in self.split(first)) + sum(found)
 
     def prefix_counts(self, text: str) -> list[int]:
+        """The token count of text[:i], for every i; a special token cut short is the plain text that it then is."""
+        out, base, at = [0], 0, 0
+        for m in self.between(text) if self.between else ():
+            plain = self.plain_counts(text[at : m.end() - 1])
+            out += [base + x for x in plain[1:]]
+            short = m.group()[:-1]
+            if any(x in short for x in self.special):  # cut short, it holds another special token
+                for i in range(m.start() + 1, m.end()):
+                    out[i] = self.count(text[:i])
+            base += plain[m.start() - at] + 1
+            out.append(base)
+            at = m.end()
+        return out + [base + x for x in self.plain_counts(text[at:])[1:]]
+
+    def plain_counts(self, text: str) -> list[int]:
         """The token count of text[:i], for every i, of a text without special tokens."""
         out, base, at = [0], 0, 0
         pretokens = self.split(text)
