@@ -6,8 +6,8 @@ security and account numbers, keys and tokens).  Each candidate has features of
 its format and of the characters before and after it.  Boosted trees, fitted in
 numpy on labelled lines that `training_lines` makes by rule (TRAINING_LINES of
 them: no corpus rows), become one Column expression; a candidate is redacted if
-its score passes the threshold that reaches PRECISION on lines kept out of the
-fit.  Base spans that pass their checks are always redacted.
+its score passes its kind's threshold, which reaches PRECISION on lines kept out
+of the fit.  Base spans that pass their checks are always redacted.
 
 Offsets come from the texts between matches, in blocks, so time grows with the
 text.  Null text is empty and has no spans.  Null doc_id and repeated rows are
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import sums_before
 
 TRAINING_LINES, PRECISION = 2000, 0.995
-TREES, RATE, BINS = 16, 0.4, 12
+TREES, RATE, BINS = 16, 0.6, 12
 
 #: Base kinds in the order in which spans are listed, then those that the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -39,13 +40,13 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,64}){1,4}",
+    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?)[A-Za-z0-9-]{1,64}){1,4}",
     "number": r"(?<![A-Za-z0-9.])[0-9(](?:[\x20().-]{0,2}[0-9]){6,20}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{16,128}+(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}+",
 }
 #: What a text must hold for a kind's pattern to be tried.
-NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]", "address": "[\\x20(\\[{]at[\\x20)\\]}]", "number": "[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[0-9A-Za-z_-]{16}"}
+NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]", "address": "[\\x20(\\[{]at[\\x20)\\]}]", "number": "[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[0-9A-Za-z_/+-]{16}"}
 CONTEXT = 24
 WORDS = {
     "says_phone": "phone|call|mobile|fax|whatsapp|sms|telef|handy|rufnummer|\\btel\\b|\\btel\\.",
@@ -53,7 +54,7 @@ WORDS = {
     "says_person": "ssn|social security|passport|licen[cs]e no|tax id|ausweis|dni|nie\\b",
     "says_secret": "token|secret|password|passwd|api[_ -]?key|access[_ -]?key|bearer|private key|\\bkey\\b",
     "says_mail": "mail|contact|write to|kontakt|correo",
-    "says_other": "version|isbn|issn|order|invoice|page|chapter|build|commit|serial|model|total|population|sha|md5|hash|figure|table|line",
+    "says_other": "version|isbn|issn|order|invoice|page|chapter|build|commit|serial|model|total|population|sha|md5|hash|figure|table|line|base64",
 }
 
 
@@ -131,23 +132,26 @@ def features(c: Column) -> dict[str, Column]:
         "separators": count("[ ().-]"),
         "brackets": count("[()\\[\\]{}]"),
         "dots": count("\\."),
+        "slashes": count("[/+]"),
+        "spelled": value.rlike("[(\\[{]at[)\\]}]|\\bdot\\b").cast("double"),
         "luhn": F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False).cast("double"),
         "after_sign": c["before"].rlike("[=:+\"'#]\\s*$").cast("double"),
         "quoted": c["after"].rlike("^[\"']").cast("double"),
         "key_prefix": value.rlike("^(AKIA|ASIA|ghp_|gho_|sk[-_]|pk[-_]|xox|AIza|eyJ)").cast("double"),
-        "area_form": value.rlike("^\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}$").cast("double"),
+        "area_form": value.rlike("^\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-]?[0-9]{4}$").cast("double"),
         "ssn_form": value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$").cast("double"),
         "date_form": value.rlike("^[12][0-9]{3}[-. ][0-9]{1,2}[-. ][0-9]{1,2}|^[0-9]{1,2}[-. ][0-9]{1,2}[-. ][12][0-9]{3}$|^[12][0-9]{3}[ -]+[12][0-9]{3}$").cast("double"),
     }
     return out | {k: c["before"].rlike(p).cast("double") for k, p in WORDS.items()}
 
 
-def training_lines(n: int = TRAINING_LINES, seed: int = 11) -> list[tuple[str, str, int]]:
-    """(line, span, 1 if the span is private) made by rule: forms of private data, and look-alikes."""
-    rng = random.Random(seed)
+def training_forms(rng: random.Random | None = None) -> tuple[list, list]:
+    """Forms of private data and of look-alikes: functions that make (text before, span)."""
+    rng = rng or random.Random()
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     among = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
     low, up, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+    base64 = low + up + "0123456789+/"
     word = lambda: among(low, rng.randint(2, 10))
 
     def luhn_number(k: int) -> str:
@@ -175,6 +179,8 @@ def training_lines(n: int = TRAINING_LINES, seed: int = 11) -> list[tuple[str, s
         lambda: (plain(), "AKIA" + among(up + "234567", 16)),
         lambda: (plain(), rng.choice(["ghp_", "sk-", "xoxb-"]) + among(low + up + "0123456789", 32)),
         lambda: (say("key", "access key", "token"), among(low + up + "0123456789", rng.randint(20, 40))),
+        lambda: (say("secret", "private key", "access key", "token"), among(base64, rng.choice([40, 64, 128, 300])) + rng.choice(["", "=", "=="])),
+        lambda: (rng.choice([plain(), "bearer "]), "eyJ" + among(low + up + "0123456789_-", rng.randint(30, 300))),
     ]
     other = [
         lambda: (say("version", "build"), f"{digits(3)}.{rng.randint(256, 999)}.{digits(2)}.{digits(4)}"),
@@ -192,11 +198,23 @@ def training_lines(n: int = TRAINING_LINES, seed: int = 11) -> list[tuple[str, s
         lambda: (plain(), among(up, 1) + among(low, rng.randint(16, 30))),
         lambda: (plain(), f"{among(low, 7)}-{among(low, 6)}-{among(low, 5)}"),
         lambda: (plain(), f"{among(low, 9)}_{among(low, 9)}_{rng.randint(1, 99)}"),
+        lambda: (plain(), rng.choice(["", "/"]) + "/".join(word() for _ in range(rng.randint(4, 9)))),
+        lambda: (plain(), f"{rng.randint(1990, 2030)}/{rng.randint(1, 12):02}/" + "-".join(word() for _ in range(rng.randint(3, 8)))),
+        lambda: ("base64,", among(base64, rng.randint(40, 400))),
         lambda: (say("commit", "sha", "md5", "hash"), among(hexa, rng.choice([32, 40]))),
-        lambda: (plain(), rng.choice(["-", "_"]) * rng.randint(16, 60)),
-        lambda: (rng.choice(["look ", "arrive ", "we met "]), f"{word()} at {word()}. {word()}"),
+        lambda: (plain(), rng.choice(["-", "_", "/", "+", "+-", "-/"]) * rng.randint(16, 60)),
+        lambda: (rng.choice(["look ", "arrive ", "we met "]), f"{word()} at {word()}.{word()}"),
         lambda: (plain(), " ".join(str(rng.randint(1, 99)) for _ in range(rng.randint(5, 9)))),
     ]
+    return private, other
+
+
+def training_lines(n: int = TRAINING_LINES, seed: int = 11, forms: Sequence[int] | None = None) -> list[tuple[str, str, int]]:
+    """(line, span, 1 if the span is private) made by rule, of all private forms or those whose numbers are given."""
+    rng = random.Random(seed)
+    private, other = training_forms(rng)
+    private = private if forms is None else [private[k] for k in forms]
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10)))
     out = []
     for k in range(n):
         label = k % 2
@@ -255,18 +273,18 @@ def _tree(tree, columns: list[Column]) -> Column:
 
 
 class Model:
-    """Trees and the threshold of their summed scores."""
+    """Trees and, by kind, the threshold of their summed scores."""
 
-    def __init__(self, trees: list, threshold: float):
-        self.trees, self.threshold = trees, threshold
+    def __init__(self, trees: list, thresholds: dict[str, float]):
+        self.trees, self.thresholds = trees, thresholds
 
-    def redacts(self, numbers: Column) -> Column:
-        """numbers: an array of the features."""
+    def redacts(self, kind: str, numbers: Column) -> Column:
+        """numbers: an array of the features of a candidate of the kind."""
         columns = [numbers[i] for i in range(len(NAMES))]
-        return reduce(lambda a, b: a + b, [_tree(t, columns) for t in self.trees]) >= self.threshold
+        return reduce(lambda a, b: a + b, [_tree(t, columns) for t in self.trees]) >= self.thresholds[kind]
 
 
-NAMES = [*[f"is_{k}" for k in KINDS], "length", "digits", "digit_share", "upper_share", "hex_share", "changes", "groups", "separators", "brackets", "dots", "luhn", "after_sign", "quoted", "key_prefix", "area_form", "ssn_form", "date_form", *WORDS]
+NAMES = [*[f"is_{k}" for k in KINDS], "length", "digits", "digit_share", "upper_share", "hex_share", "changes", "groups", "separators", "brackets", "dots", "slashes", "spelled", "luhn", "after_sign", "quoted", "key_prefix", "area_form", "ssn_form", "date_form", *WORDS]
 
 
 def _numbers(c: Column) -> Column:
@@ -274,9 +292,12 @@ def _numbers(c: Column) -> Column:
     return F.array(*(made[k] for k in NAMES))
 
 
-def train(spark: SparkSession, lines: int = TRAINING_LINES, precision: float = PRECISION) -> Model:
-    """Fits on two thirds of the lines' candidates; the threshold is the least that reaches the precision on the rest."""
-    made = training_lines(lines)
+def train(spark: SparkSession, lines: int = TRAINING_LINES, precision: float = PRECISION, made: list[tuple[str, str, int]] | None = None) -> Model:
+    """Fits on two thirds of the lines' candidates; a kind's threshold is the least that reaches the precision on the rest.
+
+    made: labelled lines instead of `lines` ones made by rule.
+    """
+    made = made or training_lines(lines)
     rows = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps([{"text": t, "span": s, "label": y} for t, s, y in made])), "array<struct<text:string,span:string,label:int>>")).alias("r")).select("r.*")
     found = rows.withColumn("c", F.explode(candidates(F.col("text"))))
     at = F.instr(F.col("text"), F.col("span")) - 1
@@ -285,10 +306,14 @@ def train(spark: SparkSession, lines: int = TRAINING_LINES, precision: float = P
     got = found.collect()
     x, y, fold = np.array([r.x for r in got]), np.array([float(r.y) for r in got]), np.array([r.fold for r in got])
     trees = fit(x[fold > 0], y[fold > 0])
-    score = np.array([sum(value(t, row) for t in trees) for row in x[fold == 0]])
-    kept = y[fold == 0]
-    threshold = next((s for s in np.sort(score) if kept[score >= s].mean() >= precision), float(score.max()))
-    return Model(trees, max(0.0, float(threshold)))
+    score = np.array([sum(value(t, row) for t in trees) for row in x])
+
+    def threshold(kind: str) -> float:
+        mine = (fold == 0) & (x[:, NAMES.index(f"is_{kind}")] > 0)
+        scores, kept = score[mine], y[mine]
+        return max(0.0, float(next((s for s in np.sort(scores) if kept[scores >= s].mean() >= precision), scores.max(initial=0.0))))
+
+    return Model(trees, {kind: threshold(kind) for kind in KINDS})
 
 
 def candidates(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -309,7 +334,7 @@ def _with_spans(docs: DataFrame, text: Column, model: Model) -> DataFrame:
     every = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
     found = docs.select(*own, *(_found(text, k).alias(f"__found_{k}") for k in KINDS))
     base = lambda k: _bare(F.coalesce(F.filter(F.col(f"__found_{k}"), _check(k)), F.array().cast(every)))
-    scored = lambda k: F.filter(F.transform(F.col(f"__found_{k}"), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _numbers(c).alias("x"))), lambda c: model.redacts(c["x"]))
+    scored = lambda k: F.filter(F.transform(F.col(f"__found_{k}"), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _numbers(c).alias("x"))), lambda c: model.redacts(k, c["x"]))
     more = lambda k: F.coalesce(_bare(scored(k)), F.array().cast(_BARE))
     found = found.select(*own, *(base(k).alias(f"__base_{k}") for k in BASE), *(more(k).alias(f"__more_{k}") for k in KINDS))
     spans = F.concat(*(F.array_sort(F.array_union(f"__base_{k}", f"__more_{k}")) if k in BASE else F.col(f"__more_{k}") for k in KINDS))

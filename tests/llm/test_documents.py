@@ -212,6 +212,22 @@ def test_model_separates_kinds(spark, model):
     assert np.mean(hits) > 0.85 and np.mean(misses) < 0.1
 
 
+def test_secrets_of_any_length(spark, model):
+    text = "token = " + "aB3/x+Q9" * 40 + "== and read src/main/resources/templates/index or either/or/neither/both of them"
+    (r,) = pii.private_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [(s.kind, s.start, s.end) for s in r.spans] == [("secret", 8, 8 + 322)]
+
+
+def test_model_finds_forms_it_was_not_fitted_on(spark):
+    """Telephone numbers without a country's code, left out of the fit, are told by their context and digits."""
+    every = range(len(pii.training_forms()[0]))
+    unseen = [8]
+    model = pii.train(spark, made=pii.training_lines(800, forms=[k for k in every if k not in unseen]))
+    lines = [x for x in pii.training_lines(200, seed=5, forms=unseen) if x[2]]
+    rows = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(lines)], "doc_id long, text string")
+    assert pii.private_spans(rows, model).where("size(spans) > 0").count() > 0.5 * len(lines)
+
+
 def test_language(spark):
     rng = random.Random(2)
     stems = {"en": ["the", "tion", "and", "ing", "with"], "es": ["ción", "que", "para", "los", "ñ"]}
@@ -247,7 +263,7 @@ def test_token_counts(docs):
     want = sorted((-1 if d is None else d, len((t or "").encode()), n(t or "")) for d, t, *_ in made())
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
     tables = token_counts.PrefixCounts(path, public_tokenizers.PATTERN)
-    for t in ("don't we'll  x\n\n y 12 ñandú 日本", "  a\t\tb's  ", "we're'st \x1c x"):
+    for t in ("don't we'll  x\n\n y 12 ñandú 日本", "  a\t\tb's  ", "we're'st \x1c x", "<|endoftext|>abc def", "a b <|endoftext|><|endoftext|> c<|endof", "x<|endoftext|>"):
         assert tables.prefix_counts(t) == [n(t[:i]) for i in range(len(t) + 1)]
         for budget in range(0, 8):
             assert n(t[: tables.cut(t, budget)]) <= budget
