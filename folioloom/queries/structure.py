@@ -10,6 +10,7 @@ from ..operators import images as I
 from ..operators import lines as L
 from ..operators import sections as S
 from ..operators import spine as Z
+from ..operators.pixels import pixel_statistics
 from ..sources.tables import book_pages, table
 from . import Query
 from . import sqltext as D
@@ -20,6 +21,10 @@ PARAS = Rows(
     "(1, 'Capítulo 1: Lanzamiento', 'un cuerpo largo'), (2, 'Prólogo', 'Monólogo De Atsuomi'), (3, 'Parte 2', 'nada de nada'), (4, 'PART 3', 'nada'), (5, 'Capítulo IV', 'nada'), (6, '1. Inicio del viaje', 'nada'), (7, 'Interludio', 'nada'), (8, 'Epílogo', 'nada'), (9, 'Short Story', 'La Luna Roja'), (10, 'Afterword', 'Palabras del autor'), (11, 'texto corriente', 'Capítulo 5'), (12, 'Agradecimientos', 'Gracias'), (13, 'Capítulo extra', 'El Último Día'), (14, 'Omake', 'Fin'), (15, 'Capítulo 7', 'Prólogo'), (16, 'Chapter 12 - The End', 'x'), (17, '', 'Introducción')",
 )
 TOC_PAGES = Rows("id, a, b, c", "(1, 'Índice', 'x', 'y'), (2, 'Capítulo 1 .... 3', 'Capítulo 2 .... 9', 'z'), (3, 'Capítulo 1', 'uno', 'dos'), (4, 'Prólogo | 3', 'Epílogo | 9', 'Afterword | 12'), (5, 'a', 'b', 'c'), (6, 'Prólogo', 'Capítulo uno', 'Epílogo 1 2 3'), (7, 'Capítulo a ..', 'Epílogo b ..', 'Afterword c')")
+FLAT = Rows(
+    "book_id, para_no, text",
+    "('a', 0, 'una línea suelta'), ('a', 1, ''), ('a', 2, 'Prólogo'), ('a', 3, 'texto del prólogo'), ('a', 4, 'Capítulo 1: Lanzamiento'), ('a', 5, 'uno'), ('a', 6, ' dos '), ('a', 7, 'Epílogo'), ('b', 0, 'Capítulo 2'), ('b', 1, 'Parte 3'), ('b', 2, 'tres'), ('b', 3, CAST(NULL AS VARCHAR(9))), ('c', 0, 'solo'), ('c', 1, 'texto'), ('d', 0, '  '), ('e', 0, 'Índice'), ('e', 1, 'Short Story'), ('e', 2, 'fin')",
+)
 FLAGS = Rows(
     "book_id, page_idx, kind, is_toc, continues, is_empty",
     "('a', 0, CAST(NULL AS STRING), false, false, true), ('a', 1, NULL, true, false, false), ('a', 2, NULL, false, true, false), ('a', 3, NULL, false, false, true), ('a', 4, NULL, false, true, false), ('a', 5, 'part', false, false, false), ('a', 6, 'prologue', false, false, false), ('a', 7, NULL, false, false, false), ('a', 8, 'chapter', false, true, false), ('a', 9, 'epilogue', false, false, false), ('b', 0, NULL, true, true, false), ('b', 1, NULL, false, true, false), ('b', 2, NULL, false, false, true), ('b', 3, 'part', false, false, false), ('b', 4, 'afterword', false, false, false), ('c', 0, 'chapter', false, false, false), ('c', 1, NULL, true, true, false), ('c', 2, 'epilogue', false, false, false)",
@@ -60,7 +65,7 @@ def _kind_sql(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {D.fits(x, p)} THEN '{k}'" for k, p in P.SPECIAL) + " END"
 
 
-HEADING_SQL = f"""WITH n AS (SELECT id, {D.heading('a')} AS a, {D.heading('b')} AS b FROM {PARAS.sql}),
+_HEADING_SQL = lambda rows: f"""WITH n AS (SELECT id, {D.heading('a')} AS a, {D.heading('b')} AS b FROM {rows}),
   c AS (SELECT id, list_filter([a, b], lambda x: x <> '') AS c FROM n),
   w AS (SELECT id, c, CASE WHEN {_kind_sql('c[1]')} IS NOT NULL OR {D.fits('c[1]', P.CHAPTER)} OR {D.fits('c[1]', P.PART)} OR {D.fits('c[1]', P.SHORT_STORY)} THEN 1
     WHEN {_kind_sql('c[2]')} IS NOT NULL OR {D.fits('c[2]', P.CHAPTER)} OR {D.fits('c[2]', P.PART)} OR {D.fits('c[2]', P.SHORT_STORY)} THEN 2 ELSE 1 END AS k FROM c),
@@ -76,7 +81,7 @@ HEADING_SQL = f"""WITH n AS (SELECT id, {D.heading('a')} AS a, {D.heading('b')}
     WHEN special = 'part' THEN 'Parte ' || regexp_extract(f, '(?i)([0-9]+|[ivxlcdm]+)', 1) WHEN special IS NOT NULL THEN f
     WHEN is_chapter THEN 'Capítulo ' || CASE WHEN regexp_matches(label, '^\\p{{L}}+$') THEN upper(label[1]) || lower(label[2:]) ELSE label END
     WHEN is_part THEN 'Parte ' || part_label ELSE 'Capítulo ' || regexp_extract(f, {D.q(P.NUMBERED)}, 1) END AS title,
-    CASE WHEN takes AND mine = '' THEN r ELSE mine END AS subtitle, CAST(k + CASE WHEN takes AND mine = '' THEN 1 ELSE 0 END AS INT) AS consume FROM t"""
+    CASE WHEN takes AND mine = '' THEN r ELSE mine END AS subtitle, CAST(k + CASE WHEN takes AND mine = '' THEN 1 ELSE 0 END AS INT) AS consume FROM t"""
 
 
 def toc_pages(spark, sf_dir):
@@ -126,6 +131,26 @@ def document_sections(spark, sf_dir):
     return told.join(n, ["book_id", "ch_idx"], "left").select("book_id", F.col("ch_idx").cast("long").alias("ch_idx"), "title", "section_kind", "is_intro", "first_page_idx", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"))
 
 
+def sections_paragraphs(spark, sf_dir):
+    """Sections of texts without pages, with their sizes: made-up books, and conversations with a paragraph a turn."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), F.col("turn").alias("para_no"), "text")
+    told, text = S.paragraph_sections(FLAT.frame(spark).unionByName(turns))
+    n = text.groupBy("book_id", "ch_idx").agg(F.count("*").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars"))
+    x = told.join(n, ["book_id", "ch_idx"], "left")
+    return x.select("book_id", "ch_idx", "title", "subtitle", "section_kind", "is_intro", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
+FLAT_SQL = f"""WITH p AS (SELECT book_id || ':' || para_no AS id, * FROM (SELECT book_id, para_no, {D.strip('text')} AS text FROM (SELECT * FROM {FLAT.sql} UNION ALL SELECT CAST(conv_id AS VARCHAR), turn, text FROM conversations)) WHERE text <> ''),
+  g AS (SELECT *, {D.heading('text')} AS h FROM p),
+  ok AS (SELECT * FROM g WHERE NOT ({D.toc_score('h')} >= 3 AND ({D.fits('lower(h)', P.TOC_KEYWORDS, False)} OR ({D.count('lower(h)', P.TOC_MENTIONS)} >= 3 AND {D.count('h', '[.]{2,}')} >= 2)))),
+  s AS ({_HEADING_SQL("(SELECT id, text AS a, '' AS b FROM ok)")}),
+  k AS (SELECT p.*, s.kind, s.title, s.subtitle FROM p LEFT JOIN (SELECT s.* FROM s JOIN g USING (id) WHERE kind = 'short_story' OR (length(h) <= 120 AND {D.count('h', '[.]')} < 3)) s USING (id)),
+  n AS (SELECT *, count(kind) OVER (PARTITION BY book_id ORDER BY para_no ROWS UNBOUNDED PRECEDING) AS seq FROM k),
+  c AS (SELECT *, seq - CASE WHEN min(seq) OVER (PARTITION BY book_id) = 0 THEN 0 ELSE 1 END AS ch FROM n)
+  SELECT book_id, CAST(ch AS INT) AS ch_idx, coalesce(max(title), 'Introducción') AS title, coalesce(max(subtitle), '') AS subtitle, coalesce(max(kind), 'intro') AS section_kind, coalesce(max(kind), '') <> 'chapter' AS is_intro,
+    count(*) FILTER (kind IS NULL) AS n_paragraphs, CAST(coalesce(sum(length(text)) FILTER (kind IS NULL), 0) AS BIGINT) AS n_chars FROM c GROUP BY book_id, ch"""
+
+
 def page_to_section(spark, sf_dir):
     """A conversation is a book, its turns are pages, user turns start sections, system turns are auxiliary."""
     c = table(spark, sf_dir, "conversations")
@@ -140,26 +165,62 @@ ASOF_SQL = """WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, turn AS pag
 
 
 def decorative_filter(spark, sf_dir):
+    """A source is a book, a document a page with one picture: its text's hash, and sides by its length."""
     d = table(spark, sf_dir, "documents")
-    x = d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_idx"), F.lit(0).alias("img_no"), F.sha1("text").alias("sha1"), F.lit(200).alias("width"), F.when(F.col("doc_id") % 2 == 0, 200).otherwise(900).alias("height"), F.lit(20).alias("n_pages"))
-    return I.decorative(x.withColumn("book_id", F.lit("all"))).select("page_idx", "sha1", "repeats", "is_decorative")
+    pages = d.groupBy(F.col("source").alias("book_id")).agg(F.count("*").cast("int").alias("n_pages"))
+    x = d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_idx"), F.lit(0).alias("img_no"), F.sha1("text").alias("sha1"), F.length("text").alias("width"), (F.length("text") % 700).alias("height"))
+    return I.decorative(x.join(pages, "book_id")).select("book_id", "page_idx", "sha1", "repeats", "is_decorative")
 
 
-DECOR_SQL = """WITH x AS (SELECT doc_id AS page_idx, sha1(text) AS sha1, CASE WHEN doc_id % 2 = 0 THEN 200 ELSE 900 END AS height FROM documents)
-  SELECT page_idx, x.sha1 AS sha1, repeats, repeats >= greatest(5, CAST(floor(20 * 0.10) AS INT)) AND (200 * height <= 120000 OR greatest(200, height) <= 600) AS is_decorative
-  FROM x JOIN (SELECT sha1, count(*) AS repeats FROM x GROUP BY sha1) r ON r.sha1 = x.sha1"""
+DECOR_SQL = """WITH x AS (SELECT source AS book_id, doc_id AS page_idx, sha1(text) AS sha1, coalesce(length(text), 0) AS w, coalesce(length(text) % 700, 0) AS h, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL)
+  SELECT book_id, page_idx, sha1, repeats, repeats >= greatest(5, n // 10) AND (w * h <= 120000 OR greatest(w, h) <= 600) AS is_decorative
+  FROM (SELECT *, count(*) OVER (PARTITION BY book_id, sha1) AS repeats FROM x WHERE sha1 IS NOT NULL)"""
 
 
 def decorative_pages(spark, sf_dir):
     x = decorative_filter(spark, sf_dir).where("repeats >= 2")
-    return x.groupBy("sha1").agg(F.array_join(F.array_sort(F.collect_set("page_idx")), ",").alias("pages"))
+    return x.groupBy("book_id", "sha1").agg(F.array_join(F.array_sort(F.collect_set("page_idx")), ",").alias("pages"))
 
 
 def image_artifact_rules(spark, sf_dir):
     return STATS.frame(spark).select("id", I.artifact_rule().alias("rule"))
 
 
-ARTIFACT_SQL = "SELECT id, CASE " + " ".join(f"WHEN {c} THEN {n}" for n, c in I.ARTIFACT_RULES) + f" END AS rule FROM {STATS.sql}"
+ARTIFACT_SQL = f"""SELECT id, CASE WHEN area <= 0 THEN 0
+    WHEN color_count <= 2 AND area <= 120000 THEN 1 WHEN color_count <= 2 AND avg_std < 3.0 AND gray_entropy < 1.2 THEN 1
+    WHEN avg_std < 2.0 AND gray_entropy < 0.8 AND area <= 180000 THEN 2
+    WHEN area <= 50000 AND side <= 240 AND sat_mean < 1.5 AND sat_std < 1.5 AND rich_color_count <= 160 AND dominant_ratio >= 0.7 THEN 3
+    WHEN color_count = 1 AND area <= 250000 THEN 4
+    WHEN area <= 50000 AND avg_std < 6.0 THEN 5 WHEN side <= 220 AND avg_std < 8.0 THEN 5
+    WHEN area <= 180000 AND avg_std < 5.0 AND avg_mean NOT BETWEEN 15 AND 245 THEN 6
+    WHEN vis_std < 6.0 AND sat_crop_mean < 8.0 AND crop_entropy < 2.2 AND area <= 250000 THEN 8
+    WHEN vis_std < 10.0 AND sat_crop_mean < 10.0 AND crop_entropy < 2.6 AND area <= 320000 AND max_channel_range <= 40 THEN 9
+    WHEN max_channel_range <= 6 AND visible_ratio > 0.9 AND crop_entropy < 2.0 THEN 11
+    WHEN area <= 400000 AND sat_mean < 8.0 AND sat_std < 6.0 AND gray_std < 12.0 AND gray_entropy < 3.0 AND avg_mean < 200 THEN 12 END AS rule
+  FROM (SELECT *, width * height AS area, greatest(width, height) AS side FROM {STATS.sql})"""
+
+
+def pixel_stats(spark, sf_dir):
+    """A document is a picture four pixels wide: its bytes, zeros behind them, as red, green, blue and alpha."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("b"))
+    d = d.withColumn("height", F.ceil(F.length("b") / 16).cast("int"))
+    pictures = d.select("id", F.lit(4).alias("width"), "height", F.concat("b", F.unhex(F.repeat(F.lit("00"), 16 * F.col("height") - F.length("b")))).alias("pixels"))
+    x = pixel_statistics(pictures)
+    return x.select("id", "height", "color_count", "rich_color_count", "max_channel_range", *(F.round(c, 4).alias(c) for c in ("avg_mean", "avg_std", "gray_std", "gray_entropy", "sat_mean", "visible_ratio")))
+
+
+PIXEL_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(ceil(strlen(coalesce(text, '')) / 16) AS BIGINT) AS height FROM documents),
+  f AS (SELECT doc_id, height, h || repeat('00', CAST(16 * height - length(h) // 2 AS INT)) AS h FROM d),
+  x AS (SELECT doc_id, height, i, substr(h, 8 * i + 1, 8) AS c FROM (SELECT *, unnest(range(4 * height)) AS i FROM f)),
+  v AS (SELECT *, CAST('0x' || c[1:2] AS INT) AS r, CAST('0x' || c[3:4] AS INT) AS g, CAST('0x' || c[5:6] AS INT) AS b, c[7:8] <> '00' AS seen FROM x),
+  w AS (SELECT *, (19595 * r + 38470 * g + 7471 * b + 32768) // 65536 AS gray, 255 * (greatest(r, g, b) - least(r, g, b)) // greatest(r, g, b, 1) AS s FROM v),
+  e AS (SELECT doc_id, -sum(n / t * log2(n / t)) + 0 AS bits FROM (SELECT doc_id, gray, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM w GROUP BY doc_id, gray) GROUP BY doc_id),
+  box AS (SELECT doc_id, min(i // 4) AS y0, max(i // 4) AS y1, min(i % 4) AS x0, max(i % 4) AS x1 FROM w WHERE seen GROUP BY doc_id),
+  inside AS (SELECT doc_id, any_value((y1 - y0 + 1) * (x1 - x0 + 1)) AS n, greatest(max(r) - min(r), max(g) - min(g), max(b) - min(b)) AS reach FROM w JOIN box USING (doc_id) WHERE i // 4 BETWEEN y0 AND y1 AND i % 4 BETWEEN x0 AND x1 GROUP BY doc_id),
+  a AS (SELECT doc_id, count(DISTINCT c) AS colors, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, stddev_pop(r) AS sr, stddev_pop(g) AS sg, stddev_pop(b) AS sb, stddev_pop(gray) AS sy, avg(s) AS ms FROM w GROUP BY doc_id)
+  SELECT f.doc_id AS id, f.height, CASE WHEN colors <= 8 THEN colors END AS color_count, CASE WHEN 4 * f.height <= 50000 THEN colors END AS rich_color_count, CAST(reach AS BIGINT) AS max_channel_range,
+    round((mr + mg + mb) / 3, 4) AS avg_mean, round((sr + sg + sb) / 3, 4) AS avg_std, round(sy, 4) AS gray_std, round(bits, 4) AS gray_entropy, round(ms, 4) AS sat_mean, round(inside.n / (4.0 * f.height), 4) AS visible_ratio
+  FROM f LEFT JOIN a ON a.doc_id = f.doc_id LEFT JOIN e ON e.doc_id = f.doc_id LEFT JOIN inside ON inside.doc_id = f.doc_id"""
 
 
 def histogram_entropy(spark, sf_dir):
@@ -292,15 +353,17 @@ FIRST_SQL = f"SELECT f.book_id, f.pos, arg_min(t.text, t.pos) AS first_text FROM
 
 
 QUERIES = {
-    "page_heading": Query(page_heading, HEADING_SQL),
+    "page_heading": Query(page_heading, _HEADING_SQL(PARAS.sql)),
     "toc_pages": Query(toc_pages, TOC_SQL),
     "toc_scan": Query(toc_scan, TOC_SCAN_SQL),
     "sections_pages": Query(sections_pages, SECTIONS_SQL),
     "document_sections": Query(document_sections),
+    "sections_paragraphs": Query(sections_paragraphs, FLAT_SQL),
     "page_to_section": Query(page_to_section, ASOF_SQL),
     "decorative_filter": Query(decorative_filter, DECOR_SQL),
-    "decorative_pages": Query(decorative_pages, f"SELECT sha1, array_to_string(list_sort(list(DISTINCT page_idx)), ',') AS pages FROM ({DECOR_SQL}) WHERE repeats >= 2 GROUP BY sha1"),
+    "decorative_pages": Query(decorative_pages, f"SELECT book_id, sha1, array_to_string(list_sort(list(DISTINCT page_idx)), ',') AS pages FROM ({DECOR_SQL}) WHERE repeats >= 2 GROUP BY book_id, sha1"),
     "image_artifact_rules": Query(image_artifact_rules, ARTIFACT_SQL),
+    "pixel_stats": Query(pixel_stats, PIXEL_SQL),
     "histogram_entropy": Query(histogram_entropy, ENTROPY_SQL),
     "cover_pick": Query(cover_pick, COVER_SQL),
     "cover_resolve": Query(cover_resolve, f"SELECT book_id, CASE WHEN book_id = 'a' THEN 'own.jpg' ELSE name END AS cover FROM ({COVER_SQL})"),
