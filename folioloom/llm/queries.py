@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL."""
+"""The queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, media, near_dedup, packing, pii, repeats, token_counts, urls
+from . import chat, decontamination, language, media, near_dedup, packing, pii, quality, repeats, spelling, token_counts, urls, whitening
 from .common import Shelf, table
 
 
@@ -194,7 +194,57 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_near_dedup, op2_media, op3_decontamination, op4_pii, op5_language, op6_chat, op7_urls, op8_packing, op9_token_counts, op10_repeats]
+#: The checksum by its table of 256 steps; near words by the texts that one deletion leaves; forms followed to their ends.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS b))
+), runs AS (
+  SELECT doc_id, w, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents
+  ) WHERE length(w) >= 5 GROUP BY doc_id, w
+), bytes AS (
+  SELECT w, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS b FROM runs
+), hashed AS (
+  SELECT w, c, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+), cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed
+), vocabulary AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), less AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)
+), near AS (
+  SELECT a.word AS word, b.word AS near, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT l.word, v.word, v.n FROM less l JOIN vocabulary v ON v.word = l.d
+  UNION SELECT v.word, l.word, l.n FROM less l JOIN vocabulary v ON v.word = l.d
+), ranked AS (
+  SELECT word, near, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS k FROM near
+), formed AS (
+  SELECT v.word AS word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM vocabulary v LEFT JOIN ranked ON ranked.word = v.word AND k = 1
+), walk AS (
+  SELECT word, word AS here FROM formed UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.here WHERE form IS NOT NULL
+)
+SELECT formed.word AS word, n, n_near, formed.form AS form, form_n, here AS root
+FROM formed JOIN walk ON walk.word = formed.word JOIN (SELECT word AS last FROM formed WHERE form IS NULL) ON last = here
+"""
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.predict(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+QUERIES = [op1_near_dedup, op2_media, op3_decontamination, op4_pii, op5_language, op6_chat, op7_urls, op8_packing, op9_token_counts, op10_repeats, op11_spelling, op12_whitening, op13_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -202,4 +252,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_chat": OP6_SQL, "op7_urls": OP7_SQL, "op10_repeats": OP10_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_chat": OP6_SQL, "op7_urls": OP7_SQL, "op10_repeats": OP10_SQL, "op11_spelling": OP11_SQL}
