@@ -59,12 +59,22 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 
 
 def sums_before(lengths: Column) -> Column:
-    """Sums of the numbers before each of them; blocks keep the copying of growing arrays short."""
-    block, n = 256, F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
+    """Sums of the numbers before each of them; time is linear where lengths is a column, as blocks read it again."""
+    return _before(lengths, lambda a, b: a + b)
+
+
+def most_before(numbers: Column) -> Column:
+    """The largest of 0 and the numbers before each of them; numbers as in sums_before."""
+    return _before(numbers, lambda a, b: F.greatest(a, b))
+
+
+def _before(numbers: Column, join) -> Column:
+    """What join makes of the numbers before each; blocks keep the copying of growing arrays short."""
+    block, n = 256, F.size(numbers)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(numbers, b * block + 1, F.lit(block)))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    add = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
+    add = lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), join))
     starts = F.aggregate(totals, empty, add, lambda a: a["out"])
     inside = F.zip_with(blocks, starts, lambda x, at: F.aggregate(x, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")), add, lambda a: a["out"]))
     return F.when(n > 0, F.flatten(inside)).otherwise(F.array().cast("array<int>"))

@@ -9,8 +9,8 @@ them: no corpus rows), become one Column expression; a candidate is redacted if
 its score passes its kind's threshold, which reaches PRECISION on lines kept out
 of the fit.  Base spans that pass their checks are always redacted.
 
-Offsets come from the texts between matches, in blocks, so time grows with the
-text.  Null text is empty and has no spans.  Null doc_id and repeated rows are
+Offsets come from the texts between matches, in blocks, and what is read for
+each match is small, so time grows with the text and its matches.  Null text is empty and has no spans.  Null doc_id and repeated rows are
 kept, each with its own result.  Columns beside doc_id and text are not read.
 """
 
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sums_before
+from .common import most_before, sums_before
 
 TRAINING_LINES, PRECISION = 2000, 0.995
 TREES, RATE, BINS = 16, 0.6, 12
@@ -43,7 +43,7 @@ PATTERNS = {
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?)[A-Za-z0-9-]{1,64}){1,4}",
     "number": r"(?<![A-Za-z0-9.])[0-9(](?:[\x20().-]{0,2}[0-9]){6,20}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}+",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?![0-9]++(?![A-Za-z_/+-]))[A-Za-z0-9_/+-]{16,}+={0,2}+",
 }
 #: What a text must hold for a kind's pattern to be tried.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]", "address": "[\\x20(\\[{]at[\\x20)\\]}]", "number": "[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[0-9A-Za-z_/+-]{16}"}
@@ -58,33 +58,36 @@ WORDS = {
 }
 
 
-def _found(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value, before, after>> of the pattern's matches; positions in code points."""
-    pattern = F.lit(PATTERNS[kind])
-    values, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    lengths = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.length(v) + F.length(g))
-    starts = F.zip_with(sums_before(lengths), F.transform(F.slice(gaps, F.lit(1), F.size(values)), F.length), lambda a, b: a + b)
-    rows = F.transform(
-        F.arrays_zip(values.alias("v"), starts.alias("s"), F.sequence(F.lit(0), F.size(values) - 1).alias("i"), gaps.alias("g")),
-        lambda x: x,
-    )
-    made = F.transform(
-        F.filter(rows, lambda x: x["v"].isNotNull()),
-        lambda x, i: F.struct(
-            F.lit(kind).alias("kind"),
-            x["s"].alias("start"),
-            (x["s"] + F.length(x["v"])).alias("end"),
-            x["v"].alias("value"),
-            F.lower(F.substring(x["g"], -CONTEXT, CONTEXT)).alias("before"),
-            F.substring(F.get(gaps, i + 1), 1, 8).alias("after"),
-        ),
-    )
-    none = F.lit(None).cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>")
-    if NEEDS[kind] == "@":
-        tried = text.contains("@")
-    else:
-        tried = text.rlike(NEEDS[kind])
-    return F.when(tried, F.when(F.size(values) > 0, made)).otherwise(none)
+def _tried(text: Column, kind: str) -> Column:
+    return text.contains("@") if NEEDS[kind] == "@" else text.rlike(NEEDS[kind])
+
+
+def _found(docs: DataFrame, text: Column, kinds: tuple[str, ...]) -> DataFrame:
+    """docs with __found_<kind>, array<struct<kind, start, end, value, before, after>> of each pattern's matches, null without one; positions in code points.
+
+    What a lambda reads of a text is a column of an earlier projection, so that nothing of the text's size is done again for each match.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    values, gaps, lengths, starts = ({k: f"__{name}_{k}" for k in kinds} for name in ("values", "gaps", "lengths", "starts"))
+    x = docs.select(*own, *(F.when(_tried(text, k), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).alias(values[k]) for k in kinds), text.alias("__text"))
+    hit = lambda k: F.size(values[k]) > 0
+    x = x.select(*own, *values.values(), *(F.when(hit(k), F.split("__text", PATTERNS[k], -1)).alias(gaps[k]) for k in kinds))
+    first = lambda k: F.slice(gaps[k], F.lit(1), F.size(values[k]))
+    x = x.select(*own, *values.values(), *gaps.values(), *(F.when(hit(k), F.zip_with(values[k], first(k), lambda v, g: F.length(v) + F.length(g))).alias(lengths[k]) for k in kinds))
+    x = x.select(*own, *values.values(), *gaps.values(), *(F.when(hit(k), sums_before(F.col(lengths[k]))).alias(starts[k]) for k in kinds))
+
+    def made(kind: str) -> Column:
+        n = F.size(values[kind])
+        rows = F.arrays_zip(F.col(values[kind]).alias("v"), F.col(starts[kind]).alias("s"), F.slice(gaps[kind], F.lit(1), n).alias("g"), F.slice(gaps[kind], F.lit(2), n).alias("h"))
+        start = lambda m: m["s"] + F.length(m["g"])
+        spans = F.transform(rows, lambda m: F.struct(
+            F.lit(kind).alias("kind"), start(m).alias("start"), (start(m) + F.length(m["v"])).alias("end"), m["v"].alias("value"),
+            F.lower(F.substring(m["g"], -CONTEXT, CONTEXT)).alias("before"), F.substring(m["h"], 1, 8).alias("after"),
+        ))
+        return F.when(hit(kind), spans).alias(f"__found_{kind}")
+
+    # A generator of one row: filters on what comes of it are not written out again through all these projections.
+    return x.select(F.inline(F.array(F.struct(*own, *map(made, kinds)))))
 
 
 def _digits(value: Column) -> Column:
@@ -92,10 +95,11 @@ def _digits(value: Column) -> Column:
 
 
 def luhn(digits: Column) -> Column:
-    backwards = F.reverse(digits)
-    each = lambda i: F.substr(backwards, i, F.lit(1)).cast("int")
-    doubled = lambda i: F.when(i % 2 == 0, F.when(each(i) > 4, 2 * each(i) - 9).otherwise(2 * each(i))).otherwise(each(i))
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda a, i: a + doubled(i)) % 10 == 0
+    """Whether the digits' checksum holds; each is read once, from the last on."""
+    none = F.struct(F.lit(0).alias("sum"), F.lit(False).alias("twice"))
+    worth = lambda a, d: F.when(a["twice"], 2 * d - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+    each = F.transform(F.split(F.reverse(digits), ""), lambda d: F.ascii(d) - 48)
+    return F.aggregate(each, none, lambda a, d: F.struct((a["sum"] + worth(a, d)).alias("sum"), (~a["twice"]).alias("twice")), lambda a: a["sum"] % 10 == 0)
 
 
 def passes(kind: str, value: Column) -> Column:
@@ -111,10 +115,6 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _check(kind: str):
-    return lambda c: passes(kind, c["value"])
-
-
 def features(c: Column) -> dict[str, Column]:
     """Numbers of a candidate's format and context."""
     value, digits = c["value"], _digits(c["value"])
@@ -278,10 +278,11 @@ class Model:
     def __init__(self, trees: list, thresholds: dict[str, float]):
         self.trees, self.thresholds = trees, thresholds
 
-    def redacts(self, kind: str, numbers: Column) -> Column:
+    def redacts(self, kind: Column, numbers: Column) -> Column:
         """numbers: an array of the features of a candidate of the kind."""
         columns = [numbers[i] for i in range(len(NAMES))]
-        return reduce(lambda a, b: a + b, [_tree(t, columns) for t in self.trees]) >= self.thresholds[kind]
+        bound = reduce(lambda rest, k: F.when(kind == k, self.thresholds[k]).otherwise(rest), KINDS, F.lit(float("inf")))
+        return reduce(lambda a, b: a + b, [_tree(t, columns) for t in self.trees]) >= bound
 
 
 NAMES = [*[f"is_{k}" for k in KINDS], "length", "digits", "digit_share", "upper_share", "hex_share", "changes", "groups", "separators", "brackets", "dots", "slashes", "spelled", "luhn", "after_sign", "quoted", "key_prefix", "area_form", "ssn_form", "date_form", *WORDS]
@@ -299,7 +300,7 @@ def train(spark: SparkSession, lines: int = TRAINING_LINES, precision: float = P
     """
     made = made or training_lines(lines)
     rows = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps([{"text": t, "span": s, "label": y} for t, s, y in made])), "array<struct<text:string,span:string,label:int>>")).alias("r")).select("r.*")
-    found = rows.withColumn("c", F.explode(candidates(F.col("text"))))
+    found = candidates(rows, F.col("text")).select(*rows.columns, F.explode("__candidates").alias("c"))
     at = F.instr(F.col("text"), F.col("span")) - 1
     overlap = F.least("c.end", at + F.length("span")) - F.greatest("c.start", at)
     found = found.where(overlap * 10 >= 8 * F.length("span")).select(_numbers(F.col("c")).alias("x"), (F.col("label") * (overlap * 10 >= 8 * (F.col("c.end") - F.col("c.start"))).cast("int")).alias("y"), F.pmod(F.xxhash64("text"), F.lit(3)).alias("fold"))
@@ -316,9 +317,10 @@ def train(spark: SparkSession, lines: int = TRAINING_LINES, precision: float = P
     return Model(trees, {kind: threshold(kind) for kind in KINDS})
 
 
-def candidates(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+def candidates(docs: DataFrame, text: Column, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """docs with __candidates: what the patterns of all kinds find, in one array."""
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>")
-    return F.concat(*(F.coalesce(_found(text, k), none) for k in kinds))
+    return _found(docs, text, kinds).select(*(F.col(f"`{c}`") for c in docs.columns), F.concat(*(F.coalesce(f"__found_{k}", none) for k in kinds)).alias("__candidates"))
 
 
 _BARE = "array<struct<kind:string,start:int,end:int>>"
@@ -329,16 +331,21 @@ def _bare(found: Column) -> Column:
 
 
 def _with_spans(docs: DataFrame, text: Column, model: Model) -> DataFrame:
-    """docs with __base and __spans of a text; each step is a projection of its own, so that no expression is written out twice."""
+    """docs with __base and __spans of a text, each a filter of one list of candidates by kind, then start; base spans that pass need no score."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    every = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
-    found = docs.select(*own, *(_found(text, k).alias(f"__found_{k}") for k in KINDS))
-    base = lambda k: _bare(F.coalesce(F.filter(F.col(f"__found_{k}"), _check(k)), F.array().cast(every)))
-    scored = lambda k: F.filter(F.transform(F.col(f"__found_{k}"), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _numbers(c).alias("x"))), lambda c: model.redacts(k, c["x"]))
-    more = lambda k: F.coalesce(_bare(scored(k)), F.array().cast(_BARE))
-    found = found.select(*own, *(base(k).alias(f"__base_{k}") for k in BASE), *(more(k).alias(f"__more_{k}") for k in KINDS))
-    spans = F.concat(*(F.array_sort(F.array_union(f"__base_{k}", f"__more_{k}")) if k in BASE else F.col(f"__more_{k}") for k in KINDS))
-    return found.select(*own, F.concat(*(F.col(f"__base_{k}") for k in BASE)).alias("__base"), spans.alias("__spans"))
+    fields = ("kind", "start", "end", "value", "before", "after")
+
+    def checked(kind: str) -> Column:
+        ok = lambda c: passes(kind, c["value"]) if kind in BASE else F.lit(False)
+        rows = F.transform(f"__found_{kind}", lambda c: F.struct(*(c[f].alias(f) for f in fields), ok(c).alias("ok")))
+        return F.coalesce(rows, F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string,ok:boolean>>"))
+
+    found = _found(docs, text, KINDS).select(*own, F.concat(*map(checked, KINDS)).alias("__every"))
+    scored = F.transform("__every", lambda c: F.struct(*(c[f].alias(f) for f in ("kind", "start", "end", "ok")), F.when(~c["ok"], _numbers(c)).alias("x")))
+    found = found.select(*own, scored.alias("__scored"))
+    found = found.select(*own, F.filter("__scored", lambda c: F.when(c["ok"], True).otherwise(model.redacts(c["kind"], c["x"]))).alias("__taken"))
+    found = found.select(*own, _bare(F.filter("__taken", lambda c: c["ok"])).alias("__base"), _bare(F.col("__taken")).alias("__spans"))
+    return found.select(F.inline(F.array(F.struct("*"))))
 
 
 def private_spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -350,25 +357,35 @@ def private_spans(docs: DataFrame, model: Model) -> DataFrame:
 _RUN = "array<struct<start:int,end:int,kind:string>>"
 
 
-def merged(spans: Column) -> Column:
-    """Runs of overlapping spans, each with the kind of its first one."""
+def merged(docs: DataFrame, spans: str) -> DataFrame:
+    """docs with __runs: runs of overlapping spans of that column, each with the kind of its first one."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    x = docs.select(*own, by_start.alias("__sorted")).withColumn("__ends", F.col("__sorted.end")).withColumn("__past", most_before(F.col("__ends")))
+    # A run opens where a span starts at or behind all ends so far, and ends at the largest end before the next one opens.
+    rows = F.arrays_zip(F.col("__sorted").alias("s"), F.col("__past").alias("p"))
+    x = x.withColumn("__open", F.filter(rows, lambda r: r["s"]["start"] >= r["p"]))
+    ends = F.concat(F.slice(F.col("__open.p"), F.lit(2), F.size("__open")), F.array(F.array_max("__ends")))
+    runs = F.zip_with("__open", ends, lambda r, end: F.struct(r["s"]["start"].alias("start"), end.alias("end"), r["s"]["kind"].alias("kind")))
+    return x.select(*own, F.when(F.size("__open") > 0, runs).otherwise(F.array().cast(_RUN)).alias("__runs"))
 
-    def add(runs: Column, s: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        joined = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(longer))
-        return F.when((F.size(runs) > 0) & (s["start"] < F.coalesce(last["end"], F.lit(0))), joined).otherwise(F.concat(runs, F.array(s)))
 
-    return F.aggregate(by_start, F.array().cast(_RUN), add)
+#: Runs that are replaced together, so that a text is cut from its beginning once for so many of them.
+TOGETHER = 128
 
 
 def replaced(text: Column, runs: Column) -> Column:
-    """The text with each run (a column of its own) replaced by its kind in brackets."""
-    end = lambda i: F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0)
-    pieces = F.transform(runs, lambda r, i: F.concat(F.substr(text, end(i) + 1, r["start"] - end(i)), F.lit("["), F.upper(r["kind"]), F.lit("]")))
+    """The text with each run (both columns of their own) replaced by its kind in brackets."""
+    count = F.floor((F.size(runs) - 1) / TOGETHER).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), count), lambda g: F.struct(F.slice(runs, g * TOGETHER + 1, F.lit(TOGETHER)).alias("runs"), F.when(g > 0, F.get(runs, g * TOGETHER - 1)["end"]).otherwise(0).alias("from")))
+    groups = F.transform(groups, lambda g: F.struct(g["runs"].alias("runs"), g["from"].alias("from"), F.substr(text, g["from"] + 1, F.element_at(g["runs"], -1)["start"] - g["from"]).alias("part")))
+
+    def filled(g: Column) -> Column:
+        past = lambda i: F.when(i > 0, F.get(g["runs"], i - 1)["end"]).otherwise(g["from"])
+        return F.array_join(F.transform(g["runs"], lambda r, i: F.concat(F.substr(g["part"], past(i) - g["from"] + 1, r["start"] - past(i)), F.lit("["), F.upper(r["kind"]), F.lit("]"))), "")
+
     rest = F.substr(text, F.element_at(runs, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(runs) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+    return F.when(F.size(runs) > 0, F.concat(F.array_join(F.transform(groups, filled), ""), rest)).otherwise(text)
 
 
 def listed(spans: Column) -> Column:
@@ -378,7 +395,7 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """docs with the private spans of text replaced; n_chars, where there is one, follows. Null text stays null."""
     out = _with_spans(docs, F.coalesce(F.col("text").cast("string"), F.lit("")), model)
-    out = out.withColumn("__runs", merged(F.col("__spans")))
+    out = merged(out, "__spans")
     out = out.withColumn("text", replaced(F.col("text"), F.col("__runs")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

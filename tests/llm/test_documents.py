@@ -502,3 +502,32 @@ def test_pipeline_end_to_end(spark, docs, none, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def log_lines(n):
+    return "\n".join(f"day {k % 28} user{k}@mail{k % 7}.example.com from 10.{k % 250}.{k % 199}.7 ok" for k in range(n))
+
+
+def test_private_spans_of_long_texts_take_linear_time(spark):
+    import time
+
+    model = pii.train(spark)
+
+    def took(n):
+        docs = spark.createDataFrame([(1, log_lines(n))], "doc_id long, text string").coalesce(1)
+        rows = pii.private_spans(docs, model).select(F.size("base").alias("n"))
+        began = time.time()
+        assert rows.collect()[0].n == 2 * n
+        return time.time() - began
+
+    took(3000)
+    small, large = min(took(3000) for _ in range(2)), min(took(12000) for _ in range(2))
+    assert large < 7 * small + 1
+    text = pii.redact(spark.createDataFrame([(1, log_lines(2000))], "doc_id long, text string"), model).collect()[0].text
+    assert [line.split(" ", 2)[2] for line in text.split("\n")] == ["[EMAIL] from [IP] ok"] * 2000
+
+
+def test_plain_digits_are_no_secrets(spark):
+    docs = spark.createDataFrame([(1, "key 4111111111111112 token 12345678901234567890123 secret aB3dE6gH9jK2mN5pQ8sT1vW4")], "doc_id long, text string")
+    found = pii.candidates(docs, F.col("text")).select(F.filter("__candidates", lambda c: c["kind"] == "secret").alias("c")).collect()[0].c
+    assert [c.value for c in found] == ["aB3dE6gH9jK2mN5pQ8sT1vW4"]
