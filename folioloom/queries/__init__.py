@@ -15,6 +15,6 @@ class Query:
 
 
 def catalogue() -> dict[str, Query]:
-    from . import package, pages, structure
+    from . import files, package, pages, structure
 
-    return pages.QUERIES | structure.QUERIES | package.QUERIES
+    return pages.QUERIES | structure.QUERIES | package.QUERIES | files.QUERIES

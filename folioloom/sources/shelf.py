@@ -49,6 +49,11 @@ class Shelf:
         out._shelf_path = path
         return out
 
+    def folder(self) -> str:
+        """A new folder of this run for files that something else writes."""
+        self.count += 1
+        return f"{self.root}/{self.count:03d}"
+
     def drop(self, df: DataFrame) -> None:
         self._delete(df._shelf_path)
 

@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds Arrow batches by bytes, unless the session has its own bound below Spark's default of a gigabyte or more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(key, None)
+    if said is None or said in ("-1", "-1b", "0", "0b") or len(said.rstrip("bB")) > 9:
+        spark.conf.set(key, size)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it comes in fewer partitions than they could work on; large inputs aren't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
