@@ -135,7 +135,7 @@ links AS (
   SELECT url, unnest([
     regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
     regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
-  FROM pages
+  FROM (SELECT url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<textarea\b.*?(?:</textarea\s*>|\z)|<template\b.*?(?:</template\s*>|\z)', ' ', 'g') AS html FROM pages)
 ), urls AS (
   SELECT url FROM pages UNION
   SELECT CASE WHEN target LIKE '//%' THEN 'http:' || target WHEN target LIKE '/%' THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*', 0) || target ELSE target END FROM links WHERE target <> ''

@@ -108,9 +108,14 @@ def _resolved(base: Column, to: Column) -> Column:
     return F.when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), to).otherwise(let(within, _without_dots))
 
 
+#: Comments and elements whose text is no markup; one that isn't closed goes on to the end.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{name}\b.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "textarea", "template"))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b) for every canonical link and meta refresh of the pages' html, as graph nodes; targets are resolved against the page or its base element."""
-    url, html = F.col("url").cast("string"), F.col("html").cast("string")
+    """(a, b) for every canonical link and meta refresh of the pages' html, as graph nodes; targets are resolved against the page or its base element; comments and scripts hold no links."""
+    url, html = F.col("url").cast("string"), F.col("__html")
+    pages = pages.select("url", F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)canonical|http-equiv|&#")).select("url", F.regexp_replace("html", HIDDEN, " ").alias("__html"))
     tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
     canonical = F.filter(tags("link"), lambda x: F.array_contains(F.split(F.lower(unescape(_attribute(x, "rel"))), r"\s+"), "canonical"))
     refresh = F.filter(tags("meta"), lambda x: F.lower(F.trim(unescape(_attribute(x, "http-equiv")))) == "refresh")
@@ -118,7 +123,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     bare = lambda x: unescape(F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     targets = F.concat(F.transform(canonical, lambda x: F.trim(unescape(_attribute(x, "href")))), F.transform(refresh, lambda x: F.when(x.rlike(r"(?is)\scontent\s*=\s*[\"']"), said(x)).otherwise(bare(x))))
     based = F.trim(unescape(_attribute(F.coalesce(F.get(tags("base"), 0), F.lit("")), "href")))
-    found = pages.where(html.rlike("(?i)canonical|http-equiv|&#")).select(url.alias("url"), based.alias("based"), F.explode(targets).alias("to")).where("to <> ''")
+    found = pages.select(url.alias("url"), based.alias("based"), F.explode(targets).alias("to")).where("to <> ''")
     base = F.when(F.col("based") != "", resolved(F.col("url"), F.col("based"))).otherwise(F.col("url"))
     return found.select(_node(F.col("url")).alias("a"), let(resolved(base, F.col("to")), _node).alias("b")).where("a is not null and b is not null")
 

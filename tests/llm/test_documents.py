@@ -1,6 +1,7 @@
 """The operators on documents against brute force, over nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioloom.llm import decontamination, language, media, near_dedup, packing, pii, repeats, token_counts
+from folioloom.llm import decontamination, language, media, near_dedup, packing, pii, queries, repeats, token_counts
 from folioloom.llm.common import Shelf
 
+FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, digest int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -531,3 +533,33 @@ def test_plain_digits_are_no_secrets(spark):
     docs = spark.createDataFrame([(1, "key 4111111111111112 token 12345678901234567890123 secret aB3dE6gH9jK2mN5pQ8sT1vW4")], "doc_id long, text string")
     found = pii.candidates(docs, F.col("text")).select(F.filter("__candidates", lambda c: c["kind"] == "secret").alias("c")).collect()[0].c
     assert [c.value for c in found] == ["aB3dE6gH9jK2mN5pQ8sT1vW4"]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+def test_columns_of_the_queries(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()}
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    found = queries.op4_pii(spark, FOLDER).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        spans = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == sha(",".join(spans).encode()) and set(spans) <= set(r.spans.split(",")) | {""}
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x.startswith(f"{k}:") for x in spans) for k in pii.BASE]
+    for r in queries.op2_media(spark, FOLDER).collect():
+        data = texts[r.doc_id].encode()
+        payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in queries.op9_token_counts(spark, FOLDER).collect():
+        n = len(coder.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = {}
+    for r in queries.op8_packing(spark, FOLDER).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    for doc_id, text in texts.items():
+        ids, at = [*coder.encode(text, add_special_tokens=False).ids, 1], 0
+        for r in sorted(pieces[doc_id], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)

@@ -1,6 +1,7 @@
 """Chat formatting, URL filters and the queries' SQL."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -57,6 +58,8 @@ def test_every_link_form(spark):
         ('<meta content="1; http://b.com/&amp;lt;" http-equiv="Refresh">', {"b.com/&lt;"}),
         ('<base href="http://o.net/p/"><link rel="canonical" href="r"><link rel="canonical" href="?s">', {"o.net/p/r", "o.net/p/?s"}),
         ('<link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href=""><link rel="canonical">', set()),
+        ('<!-- <link rel="canonical" href="/a"> --><script>s = \'<link rel="canonical" href="/b">\'</script ><STYLE><link rel=canonical href=/c></style><link rel="canonical" href="/d"><!--> <meta http-equiv="refresh" content="0; url=/e">', {"x.net/d"}),
+        ('<template><link rel="canonical" href="/a"></template><scripts><link rel="canonical" href="/b"><script><!-- </script> <link rel="canonical" href="/c"><script><link rel="canonical" href="/no">', {"x.net/b", "x.net/c"}),
         ('<link rel="canonical" href="http://b.com/&#241;&#99999999;&#1114112;">', {"b.com/ñ&"}),
     ]
     for k, (html, want) in enumerate(rows):
@@ -76,3 +79,31 @@ def test_matches_sql(spark, name):
     want = duck.sql(queries.oracle_sql()[name])
     rows = queries.queries()[name](spark, FOLDER).select(want.columns).collect()
     assert sorted(map(repr, (tuple(r) for r in rows))) == sorted(map(repr, want.fetchall()))
+
+
+def test_components_of_random_graphs(spark):
+    """Verdicts over made redirects against a plain walk: allow before block in a class, own rules first, the default elsewhere."""
+    rng = random.Random(10)
+    names = [f"http://{h}/p{k}" for k in range(30) for h in ("a.com/de", "b.com/fr", "c.net", "d.net", "e.org")]
+    links = [(rng.choice(names), rng.choice(names)) for _ in range(70)] + [("http://c.net/p0", "http://c.net/p0"), (None, names[0]), (names[1], "no url")]
+    near = {n: {n} for n in names}
+    for a, b in links:
+        if a in near and b in near:
+            near[a].add(b), near[b].add(a)
+
+    def own(n):
+        return {"a.com": "block", "b.com": "allow", "e.org": "allow"}.get(n.split("/")[2])
+
+    def verdict(n):
+        seen, stack = {n}, [n]
+        while stack:
+            stack += (new := near[stack.pop()] - seen)
+            seen |= new
+        said = {own(m) for m in seen}
+        return own(n) or ("allow" if "allow" in said else "block" if "block" in said else "allow")
+
+    pages = spark.createDataFrame([(k, n, None) for k, n in enumerate(names)], "page_id long, url string, html string")
+    redirects = spark.createDataFrame(links, "source string, target string").repartition(5)
+    got = {r.page_id: r.verdict for r in urls.judge(pages, queries.RULES, redirects).collect()}
+    want = {k: verdict(n) for k, n in enumerate(names)}
+    assert got == want and set(want.values()) == {"allow", "block"} and sum(own(n) is None and want[k] == "block" for k, n in enumerate(names)) > 3
