@@ -13,19 +13,68 @@ from ..plans.book import archive_of, build, unique_names
 from ..sources.tables import book_pages, table
 from . import Query
 from .structure import TEXTS
-from .sqltext import Rows, q, strip
-
-SECTIONS = Rows("book_id, ch_idx, title, subtitle, section_kind", "('b', 0, 'Uno & dos', 'Sub <a>', 'chapter'), ('b', 1, 'Parte 2', '', 'part')")
-PIECES = Rows("book_id, pos, ch_idx, start_idx, end_idx, include_header, hidden", "('b', 0, 0, 0, 3, true, ''), ('b', 1, 0, 5, 9, false, 'x.jpg'), ('b', 2, 1, 0, 4, true, '')")
-ANCHORS = Rows("book_id, ch_idx, after_para_idx, imgname, caption, layout", "('b', 0, -1, 'f.jpg', '', 'fullblock'), ('b', 0, 1, 'm.jpg', 'pie & más', 'inline'), ('b', 0, 4, 'x.jpg', '', 'inline'), ('b', 0, 8, 'z.jpg', '', 'inline'), ('b', 0, 2, 'm.jpg', '', 'inline'), ('b', 1, 99, 'q.jpg', '', 'inline')")
-SPINE = Rows("book_id, pos, type, ch_idx, label", "('b', 0, 'img_page', -1, ''), ('b', 1, 'chapter_fragment', 0, 'Uno & dos'), ('b', 2, 'img_sequence', -1, ''), ('b', 3, 'chapter_fragment', 0, 'Uno & dos'), ('b', 4, 'chapter_fragment', 1, 'Parte 2'), ('c', 0, 'chapter_fragment', 0, 'Solo')")
-BOOKS = Rows("book_id, uuid, title, author, lang, publisher, date", "('b', 'u-1', 'A & B', 'Ana', 'es', '', '2026'), ('c', 'u-2', 'C', 'D <d>', 'en', 'P', '1999')")
-MANIFEST = Rows("book_id, seq, id, href, media_type", "('b', 0, 'cover-image', 'Images/cover.jpg', 'image/jpeg'), ('b', 1, 'cap001', 'Text/001.xhtml', 'application/xhtml+xml'), ('c', 0, 'cap001', 'Text/001.xhtml', 'application/xhtml+xml')")
-REFS = Rows("book_id, seq, idref", "('b', 0, 'cover'), ('b', 1, 'cap001'), ('c', 0, 'cap001')")
-POINTS = Rows("book_id, play_order, label, src", "('b', 1, 'Uno & dos', 'Text/001.xhtml'), ('b', 2, 'Dos', 'Text/003.xhtml')")
-META = Rows("id, given, found, stem", "(1, '', '', 'fichero'), (2, 'Mío', 'PDF', 'x'), (3, '', 'PDF', 'x'), (4, CAST(NULL AS STRING), CAST(NULL AS STRING), 'y')")
-STEMS = Rows("id, value", "(1, 'Mi: Libro?'), (2, ''), (3, '***'), (4, 'a_b - c'), (5, '  Ñandú 2  '), (6, CAST(NULL AS STRING))")
-GALLERIES = Rows("book_id, pos, seq, name, caption", "('b', 0, 0, 'a.jpg', 'A & a'), ('b', 0, 1, 'b.jpg', ''), ('b', 1, 0, 'c.jpg', 'C')")
+from .sqltext import Rows, block, inside, one_of, pick, q, strip
+
+SECTIONS = Rows(
+    "book_id, ch_idx, title, subtitle, section_kind",
+    "('b', 0, 'Uno & dos', 'Sub <a>', 'chapter'), ('b', 1, 'Parte 2', '', 'part')",
+    ("book", block(6), "'Capítulo ' || n || ' & <' || priority || '>'", one_of(1, "''", "'Sub <' || k || '>'"), one_of(2, "'part'", "'chapter'", "'epilogue'")),
+    where="n % 6 = 0",
+)
+PIECES = Rows(
+    "book_id, pos, ch_idx, start_idx, end_idx, include_header, hidden",
+    "('b', 0, 0, 0, 3, true, ''), ('b', 1, 0, 5, 9, false, 'x.jpg'), ('b', 2, 1, 0, 4, true, '')",
+    ("book", "n", block(6), inside(6), f"{inside(6)} + 2", "n % 6 = 0", one_of(3, "''", "'m' || (n + 1) || '.jpg'")),
+    where="n % 2 = 0",
+)
+ANCHORS = Rows(
+    "book_id, ch_idx, after_para_idx, imgname, caption, layout",
+    "('b', 0, -1, 'f.jpg', '', 'fullblock'), ('b', 0, 1, 'm.jpg', 'pie & más', 'inline'), ('b', 0, 4, 'x.jpg', '', 'inline'), ('b', 0, 8, 'z.jpg', '', 'inline'), ('b', 0, 2, 'm.jpg', '', 'inline'), ('b', 1, 99, 'q.jpg', '', 'inline')",
+    ("book", block(6), f"{inside(6)} - 1", "'m' || n || '.jpg'", one_of(5, "''", "'pie & ' || k"), one_of(6, "'inline'", "'fullblock'")),
+    where=f"{pick(4, 2)} = 0",
+)
+SPINE = Rows(
+    "book_id, pos, type, ch_idx, label",
+    "('b', 0, 'img_page', -1, ''), ('b', 1, 'chapter_fragment', 0, 'Uno & dos'), ('b', 2, 'img_sequence', -1, ''), ('b', 3, 'chapter_fragment', 0, 'Uno & dos'), ('b', 4, 'chapter_fragment', 1, 'Parte 2'), ('c', 0, 'chapter_fragment', 0, 'Solo')",
+    ("book", "n", one_of(1, "'img_page'", "'img_sequence'", "'chapter_fragment'", "'chapter_fragment'"), f"CASE WHEN {pick(1, 4)} < 2 THEN -1 ELSE {block(3)} END", f"'Uno & ' || {block(3)}"),
+)
+BOOKS = Rows(
+    "book_id, uuid, title, author, lang, publisher, date",
+    "('b', 'u-1', 'A & B', 'Ana', 'es', '', '2026'), ('c', 'u-2', 'C', 'D <d>', 'en', 'P', '1999')",
+    ("book", "'u-' || c", "'Libro & ' || k", "'Ana <' || priority || '>'", one_of(1, "'es'", "'en'"), one_of(2, "''", "'P & P'"), "'2026'"),
+    where="n = 0",
+)
+MANIFEST = Rows(
+    "book_id, seq, id, href, media_type",
+    "('b', 0, 'cover-image', 'Images/cover.jpg', 'image/jpeg'), ('b', 1, 'cap001', 'Text/001.xhtml', 'application/xhtml+xml'), ('c', 0, 'cap001', 'Text/001.xhtml', 'application/xhtml+xml')",
+    ("book", "n", f"CASE WHEN n = 0 AND {pick(1, 2)} = 0 THEN 'cover-image' ELSE 'cap' || n END", "'Text/' || n || '.xhtml'", "'application/xhtml+xml'"),
+)
+REFS = Rows(
+    "book_id, seq, idref",
+    "('b', 0, 'cover'), ('b', 1, 'cap001'), ('c', 0, 'cap001')",
+    ("book", "n", "'cap' || n"),
+)
+POINTS = Rows(
+    "book_id, play_order, label, src",
+    "('b', 1, 'Uno & dos', 'Text/001.xhtml'), ('b', 2, 'Dos', 'Text/003.xhtml')",
+    ("book", "n + 1", "'Parte & ' || n", "'Text/' || n || '.xhtml'"),
+)
+META = Rows(
+    "id, given, found, stem",
+    "(1, '', '', 'fichero'), (2, 'Mío', 'PDF', 'x'), (3, '', 'PDF', 'x'), (4, CAST(NULL AS STRING), CAST(NULL AS STRING), 'y')",
+    ("10 + k", one_of(1, "''", "NULL", "'Mío ' || k"), one_of(2, "''", "NULL", "'PDF ' || priority"), "'f' || k"),
+)
+STEMS = Rows(
+    "id, value",
+    "(1, 'Mi: Libro?'), (2, ''), (3, '***'), (4, 'a_b - c'), (5, '  Ñandú 2  '), (6, CAST(NULL AS STRING))",
+    ("10 + doc_id * 1000000 + line_no", "text"),
+    source="document_lines",
+)
+GALLERIES = Rows(
+    "book_id, pos, seq, name, caption",
+    "('b', 0, 0, 'a.jpg', 'A & a'), ('b', 0, 1, 'b.jpg', ''), ('b', 1, 0, 'c.jpg', 'C')",
+    ("book", block(3), inside(3), "'g' || k || '.jpg'", one_of(1, "''", "'A & ' || k")),
+)
 
 
 def xml_escape(spark, sf_dir):
@@ -41,16 +90,16 @@ def inline_styles(spark, sf_dir):
 
 
 def para_html(spark, sf_dir):
-    first = F.row_number().over(Window.partitionBy("ch_idx").orderBy("pos")) == 1
-    return TEXTS.frame(spark).withColumn("first", first).select("ch_idx", "pos", M.paragraph_html(F.col("text"), F.col("first")).alias("html"))
+    first = F.row_number().over(Window.partitionBy("book_id", "ch_idx").orderBy("pos")) == 1
+    return TEXTS.frame(spark, sf_dir).withColumn("first", first).select("book_id", "ch_idx", "pos", M.paragraph_html(F.col("text"), F.col("first")).alias("html"))
 
 
 _PARA = lambda text, first: f"(CASE WHEN {first} THEN '<p class=\"asangre\">' ELSE '<p>' END || {_STYLE(_ESCAPE(text))} || '</p>')"
 
 
 def fragment_html(spark, sf_dir):
-    pieces = PIECES.frame(spark).withColumn("suppress_images", F.filter(F.split("hidden", ","), lambda x: x != ""))
-    return K.fragment_bodies(pieces, SECTIONS.frame(spark), TEXTS.frame(spark), ANCHORS.frame(spark)).select("book_id", "pos", "body")
+    pieces = PIECES.frame(spark, sf_dir).withColumn("suppress_images", F.filter(F.split("hidden", ","), lambda x: x != ""))
+    return K.fragment_bodies(pieces, SECTIONS.frame(spark, sf_dir), TEXTS.frame(spark, sf_dir), ANCHORS.frame(spark, sf_dir)).select("book_id", "pos", "body")
 
 
 FRAGMENT_SQL = f"""WITH s AS {SECTIONS.sql}, f AS {PIECES.sql},
@@ -65,7 +114,7 @@ FRAGMENT_SQL = f"""WITH s AS {SECTIONS.sql}, f AS {PIECES.sql},
 
 
 def spine_names(spark, sf_dir):
-    return K.name_items(SPINE.frame(spark)).select("book_id", "pos", "file", "idref", "in_nav")
+    return K.name_items(SPINE.frame(spark, sf_dir)).select("book_id", "pos", "file", "idref", "in_nav")
 
 
 _COUNT = "row_number() OVER (PARTITION BY book_id, type = 'chapter_fragment' ORDER BY pos)"
@@ -74,14 +123,14 @@ NAMES_SQL = f"""SELECT book_id, pos, CASE WHEN type = 'chapter_fragment' THEN lp
 
 
 def nav_points(spark, sf_dir):
-    return K.nav_points(K.name_items(SPINE.frame(spark)))
+    return K.nav_points(K.name_items(SPINE.frame(spark, sf_dir)))
 
 
 NAV_SQL = f"SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY pos) AS INT) AS play_order, label, 'Text/' || file AS src FROM ({NAMES_SQL}) JOIN {SPINE.sql} USING (book_id, pos) WHERE in_nav"
 
 
 def manifest_opf(spark, sf_dir):
-    return K.opf(BOOKS.frame(spark), MANIFEST.frame(spark), REFS.frame(spark))
+    return K.opf(BOOKS.frame(spark, sf_dir), MANIFEST.frame(spark, sf_dir), REFS.frame(spark, sf_dir))
 
 
 def _printf(template: str, *args: str) -> str:
@@ -103,7 +152,7 @@ OPF_SQL = f"""SELECT book_id, {_printf(templates.OPF, _ESCAPE('title'), _ESCAPE(
 
 
 def nav_ncx(spark, sf_dir):
-    return K.ncx(BOOKS.frame(spark), POINTS.frame(spark))
+    return K.ncx(BOOKS.frame(spark, sf_dir), POINTS.frame(spark, sf_dir))
 
 
 _NAV_XML = "coalesce(nav, '')"
@@ -112,7 +161,7 @@ NCX_SQL = f"SELECT book_id, {_printf(templates.NCX, 'lang', 'uuid', _ESCAPE('tit
 
 def image_galleries(spark, sf_dir):
     images = F.array_sort(F.collect_list(F.struct("seq", "name", "caption")))
-    return GALLERIES.frame(spark).groupBy("book_id", "pos").agg(K.gallery(images).alias("body"), F.array_join(F.array_sort(F.collect_set(K.image_id(F.col("name")))), " ").alias("ids"))
+    return GALLERIES.frame(spark, sf_dir).groupBy("book_id", "pos").agg(K.gallery(images).alias("body"), F.array_join(F.array_sort(F.collect_set(K.image_id(F.col("name")))), " ").alias("ids"))
 
 
 #: The formats stand here once more in words of their own, so that a wrong one in the templates shows.
@@ -137,11 +186,11 @@ GALLERY_SQL = f"""SELECT book_id, pos, '<div class="galeria">' || chr(10) || str
 
 
 def meta_precedence(spark, sf_dir):
-    return META.frame(spark).select("id", M.first_filled(F.col("given"), F.col("found"), F.col("stem")).alias("title"), M.first_filled(F.col("given"), F.col("found"), F.lit("Desconocido")).alias("author"))
+    return META.frame(spark, sf_dir).select("id", M.first_filled(F.col("given"), F.col("found"), F.col("stem")).alias("title"), M.first_filled(F.col("given"), F.col("found"), F.lit("Desconocido")).alias("author"))
 
 
 def safe_stem(spark, sf_dir):
-    return STEMS.frame(spark).select("id", M.safe_stem(F.col("value")).alias("stem"), M.safe_stem(F.col("value"), "libro", 5).alias("short"))
+    return STEMS.frame(spark, sf_dir).select("id", M.safe_stem(F.col("value")).alias("stem"), M.safe_stem(F.col("value"), "libro", 5).alias("short"))
 
 
 _STEM = strip("regexp_replace(coalesce(value, ''), '[^\\p{L}\\p{N}_\\t-\\r\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\-]', '', 'g')")
@@ -192,7 +241,7 @@ def book_archives(spark, sf_dir):
 
 
 def cover_pages(spark, sf_dir):
-    x = BOOKS.frame(spark)
+    x = BOOKS.frame(spark, sf_dir)
     return x.select("book_id", K.cover_page(F.col("lang"), F.col("book_id") == "b", F.col("title"), F.col("author")).alias("page"))
 
 
@@ -201,7 +250,7 @@ _COVER_BODY = f"""CASE WHEN book_id = 'b' THEN '<div class="cubierta">' || chr(1
 
 
 def image_pages(spark, sf_dir):
-    return GALLERIES.frame(spark).select("name", K.image_page(F.lit("es"), F.lit("Imagen"), F.col("name"), F.col("caption")).alias("page"))
+    return GALLERIES.frame(spark, sf_dir).select("name", K.image_page(F.lit("es"), F.lit("Imagen"), F.col("name"), F.col("caption")).alias("page"))
 
 
 _IMAGE_BODY = f"""'<div class="pagina">' || chr(10) || '  <div class="dimg fullblock">' || chr(10) || '    <img alt="ilustración" src="../Images/' || name || '"/>' || chr(10) || '  </div>' || {_CAPTION} || chr(10) || '</div>'"""
@@ -217,7 +266,7 @@ _LINE_LIST = f"list_filter(list_transform(string_split_regex(text, {q(BREAK)}),
 
 def export_names(spark, sf_dir):
     started = F.to_timestamp(F.lit("2024-03-01 10:20:30"))
-    return STEMS.frame(spark).select("id", M.export_name(F.col("value")).alias("name"), M.job_name(started, F.col("value"), F.sha1(F.col("id").cast("string"))).alias("job"))
+    return STEMS.frame(spark, sf_dir).select("id", M.export_name(F.col("value")).alias("name"), M.job_name(started, F.col("value"), F.sha1(F.col("id").cast("string"))).alias("job"))
 
 
 QUERIES = {
@@ -227,7 +276,7 @@ QUERIES = {
     "export_names": Query(export_names, f"SELECT id, coalesce(nullif(left(s, 80), ''), 'libro') || '.epub' AS name, '20240301-102030_' || coalesce(nullif(s, ''), 'libro') || '_' || left(sha1(CAST(id AS VARCHAR)), 6) AS job FROM (SELECT id, {_STEM} AS s FROM {STEMS.sql.replace('AS STRING', 'AS VARCHAR')})"),
     "xml_escape": Query(xml_escape, f"SELECT doc_id, md5({_ESCAPE('text')}) AS md5 FROM documents"),
     "inline_styles": Query(inline_styles, f"SELECT doc_id, md5({_STYLE('text')}) AS md5 FROM documents"),
-    "para_html": Query(para_html, f"SELECT ch_idx, pos, {_PARA('text', 'pos = min(pos) OVER (PARTITION BY ch_idx)')} AS html FROM {TEXTS.sql}"),
+    "para_html": Query(para_html, f"SELECT book_id, ch_idx, pos, {_PARA('text', 'pos = min(pos) OVER (PARTITION BY book_id, ch_idx)')} AS html FROM {TEXTS.sql}"),
     "fragment_html": Query(fragment_html, FRAGMENT_SQL),
     "spine_names": Query(spine_names, NAMES_SQL),
     "nav_points": Query(nav_points, NAV_SQL),

@@ -14,19 +14,34 @@ from . import Query
 from . import sqltext as D
 from .sqltext import PAGES, Rows
 
-NUMBERS = Rows("id, text", "(1, ' 12 '), (2, '12 a'), (3, '12345'), (4, ''), (5, '7'), (6, 'x 7')")
-HEADERS = Rows("id, line", "(1, '12'), (2, '— 12 —'), (3, 'Página 12'), (4, 'Mi Novela | 45'), (5, 'Volumen 0 – Blog'), (6, '12345'), (7, 'Capítulo 3'), (8, '1 2 3 4 é5 a6'), (9, 'pag. 3 y pág 4'), (10, '   '), (11, '  a   b  12 ')")
+NUMBERS = Rows(
+    "id, text",
+    "(1, ' 12 '), (2, '12 a'), (3, '12345'), (4, ''), (5, '7'), (6, 'x 7')",
+    ("10 + doc_id * 1000000 + line_no", "CASE line_no % 5 WHEN 0 THEN ' ' || doc_id || ' ' ELSE text END"),
+    source="document_lines",
+)
+HEADERS = Rows(
+    "id, line",
+    "(1, '12'), (2, '— 12 —'), (3, 'Página 12'), (4, 'Mi Novela | 45'), (5, 'Volumen 0 – Blog'), (6, '12345'), (7, 'Capítulo 3'), (8, '1 2 3 4 é5 a6'), (9, 'pag. 3 y pág 4'), (10, '   '), (11, '  a   b  12 ')",
+    ("20 + doc_id * 1000000 + line_no", "CASE line_no % 4 WHEN 0 THEN text || ' | ' || line_no WHEN 1 THEN 'Página ' || line_no ELSE text END"),
+    source="document_lines",
+)
 HEADINGS = Rows(
     "id, text",
     "(1, 'CAPÍTULO 1'), (2, '— Capítulo 2: Algo —'), (3, 'capitulos'), (4, 'Parte de la culpa'), (5, 'El Comienzo'), (6, 'Hacía frío aquella noche de invierno.'), (7, 'Era tarde.'), (8, 'Prólogo'), (9, ''), (10, 'Uno ..... 12'), (11, 'Ana Bel | 4'), (12, '44'), (13, 'Short  Story'), (14, '  | agradecimientos |  '), (15, 'Palabras del autor'), (16, 'La Casa de los Sueños Perdidos'), (17, 'Índice'), (18, 'Capítulo 1 ........ 12'), (19, 'Capítulo 1'), (20, 'tocar'), (21, 'Epílogo | 99'), (22, 'Tabla de Contenidos'), (23, 'Texto 33')",
+    ("30 + doc_id * 1000000 + line_no", "CASE line_no % 6 WHEN 0 THEN 'Capítulo ' || doc_id || ' ' || text WHEN 1 THEN text || ' ..... ' || line_no WHEN 2 THEN 'Prólogo | ' || line_no ELSE text END"),
+    source="document_lines",
 )
 BLOCKS = Rows(
     "book_id, page_idx, block_no, y_rel, text",
     "('b', 0, 0, 0.95, 'Mi Novela'), ('b', 0, 1, 0.5, 'Hola'), ('b', 1, 0, 0.95, 'Mi Novela'), ('b', 1, 1, 0.05, '12'), ('b', 2, 0, 0.95, 'Mi Novela'), ('b', 2, 1, 0.5, '12'), ('b', 3, 0, 0.95, 'Mi Novela'), ('b', 3, 1, 0.5, 'Mi Novela'), ('b', 3, 2, 0.02, 'Pág. 4'), ('c', 0, 0, 0.95, 'Mi Novela'), ('c', 0, 1, 0.05, '— 3 —')",
+    ("book", D.block(3), D.inside(3), D.part(1, 20, 20), D.one_of(2, "status", "CAST(n AS STRING)", "'texto ' || k")),
 )
 LINES = Rows(
     "book_id, page_idx, line_no, text",
     "('b', 0, 0, 'Era una no-'), ('b', 0, 1, 'che oscura.'), ('b', 0, 2, '—Hola'), ('b', 0, 3, 'dijo él.'), ('b', 1, 0, 'Capítulo 1'), ('b', 1, 1, 'El Comienzo'), ('b', 1, 2, 'Hacía frío aquella noche de invierno.'), ('b', 2, 0, 'Capítulo 1'), ('b', 2, 1, 'Era tarde.'), ('b', 3, 0, 'una línea'), ('b', 3, 1, 'sigue aquí'), ('b', 3, 2, ''), ('b', 3, 3, 'otra'), ('b', 4, 0, 'x'), ('c', 0, 0, 'uno-'), ('c', 0, 1, 'dos-'), ('c', 0, 2, 'tres-'), ('c', 0, 3, 'cuatro'), ('c', 0, 4, 'Prólogo'), ('c', 0, 5, ''), ('c', 0, 6, 'Monólogo De Ana'), ('c', 0, 7, 'y luego'), ('c', 0, 8, 'Más')",
+    ("'v' || conv_id", "CAST(turn AS INT)", "line_no", "text"),
+    source="turn_lines",
 )
 
 
@@ -43,7 +58,7 @@ def page_counts(spark, sf_dir):
 
 
 def page_number_strip(spark, sf_dir):
-    return NUMBERS.frame(spark).select("id", T.without_page_number(F.col("text")).alias("text"))
+    return NUMBERS.frame(spark, sf_dir).select("id", T.without_page_number(F.col("text")).alias("text"))
 
 
 def visual_separator(spark, sf_dir):
@@ -141,7 +156,7 @@ CLEAN_SQL = f"""WITH l AS (SELECT book_id, page_idx, line_no, {D.collapse('text'
 
 
 def border_blocks(spark, sf_dir):
-    return L.body_blocks(BLOCKS.frame(spark)).select("book_id", "page_idx", "block_no", "text")
+    return L.body_blocks(BLOCKS.frame(spark, sf_dir)).select("book_id", "page_idx", "block_no", "text")
 
 
 BORDER_SQL = f"""WITH b AS (SELECT *, y_rel > 0.9 OR y_rel < 0.1 AS border FROM {BLOCKS.sql}),
@@ -151,12 +166,12 @@ BORDER_SQL = f"""WITH b AS (SELECT *, y_rel > 0.9 OR y_rel < 0.1 AS border FROM
 
 
 def header_footer_form(spark, sf_dir):
-    return HEADERS.frame(spark).select("id", T.header_footer_form(F.col("line")).alias("form"))
+    return HEADERS.frame(spark, sf_dir).select("id", T.header_footer_form(F.col("line")).alias("form"))
 
 
 def heading_lines(spark, sf_dir):
     c = F.col("text")
-    return HEADINGS.frame(spark).select("id", T.heading_text(c).alias("heading"), T.is_structural(c).alias("is_structural"), T.is_subtitle(c).alias("is_subtitle"), T.is_short_heading(c).alias("is_short"), T.toc_score(c).alias("toc_score"))
+    return HEADINGS.frame(spark, sf_dir).select("id", T.heading_text(c).alias("heading"), T.is_structural(c).alias("is_structural"), T.is_subtitle(c).alias("is_subtitle"), T.is_short_heading(c).alias("is_short"), T.toc_score(c).alias("toc_score"))
 
 
 HEADING_SQL = f"""SELECT id, h AS heading, {D.fits('h', P.STRUCTURAL)} AS is_structural, {D.subtitle('h')} AS is_subtitle,
@@ -198,7 +213,7 @@ def _fold_sql(source: str) -> str:
 
 
 def paragraphs(spark, sf_dir):
-    return L.paragraphs(LINES.frame(spark))
+    return L.paragraphs(LINES.frame(spark, sf_dir))
 
 
 def document_paragraphs(spark, sf_dir):

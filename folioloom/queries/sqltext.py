@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import profile as P
+from ..functions import text as T
+from ..sources.tables import table
 
 
 def q(text: str) -> str:
@@ -87,16 +90,64 @@ def toc_score(x: str) -> str:
 PAGES = "(SELECT source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS page_idx, text AS raw_text FROM documents)"
 
 
+def _split(table_name: str, keys: str) -> str:
+    return f"(SELECT {keys}, CAST(i - 1 AS INT) AS line_no, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT {keys}, {lines('text')} AS ls FROM {table_name})))"
+
+
+_NUMBERED = ("'o' || o_custkey AS book", "o_custkey AS c", "o_orderkey AS k", "o_orderpriority AS priority", "o_orderstatus AS status", "CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS n")
+
+#: What rows can be derived from: a customer as a book and its orders as numbered pages or pieces, the lines of documents, the lines of turns.
+GIVEN = {
+    "orders": f"(SELECT {', '.join(_NUMBERED)} FROM orders)",
+    "document_lines": _split("documents", "doc_id"),
+    "turn_lines": _split("conversations", "conv_id, turn"),
+}
+
+
+def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of GIVEN[name] on Spark."""
+    if name == "orders":
+        return table(spark, sf_dir, "orders").selectExpr(*_NUMBERED)
+    source, keys = {"document_lines": ("documents", ["doc_id"]), "turn_lines": ("conversations", ["conv_id", "turn"])}[name]
+    return table(spark, sf_dir, source).select(*keys, F.posexplode(T.lines(F.col("text"))).alias("line_no", "text"))
+
+
+def pick(salt: int, m: int) -> str:
+    """A number below m by the order's key, in words that both engines read."""
+    return f"CAST((k * 7919 + {salt} * 104729) % 1000003 % {m} AS INT)"
+
+
+def part(salt: int, m: int, by: int) -> str:
+    return f"(CAST({pick(salt, m)} AS DOUBLE) / {by})"
+
+
+def block(size: int) -> str:
+    return f"CAST(floor(n / {size}) AS INT)"
+
+
+def inside(size: int) -> str:
+    return f"CAST(n % {size} AS INT)"
+
+
+def one_of(salt: int, *values: str) -> str:
+    return f"CASE {pick(salt, len(values))} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
 @dataclass(frozen=True)
 class Rows:
-    """A few rows that both engines read as VALUES."""
+    """A few odd rows as VALUES, and behind them rows derived from a given table; both engines read the same words."""
 
     columns: str
     values: str
+    more: tuple[str, ...] = ()
+    where: str = "true"
+    source: str = "orders"
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.sql(f"SELECT * FROM VALUES {self.values} AS t({self.columns})")
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        few = spark.sql(f"SELECT * FROM VALUES {self.values} AS t({self.columns})")
+        return few.union(given(spark, sf_dir, self.source).where(self.where).selectExpr(*self.more)) if self.more else few
 
     @property
     def sql(self) -> str:
-        return f"(SELECT * FROM (VALUES {self.values}) AS t({self.columns}))"
+        few = f"SELECT * FROM (VALUES {self.values}) AS t({self.columns})"
+        return f"({few} UNION ALL SELECT {', '.join(self.more)} FROM {GIVEN[self.source]} AS g WHERE {self.where})" if self.more else f"({few})"

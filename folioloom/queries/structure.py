@@ -19,8 +19,13 @@ from .sqltext import Rows
 PARAS = Rows(
     "id, a, b",
     "(1, 'Capítulo 1: Lanzamiento', 'un cuerpo largo'), (2, 'Prólogo', 'Monólogo De Atsuomi'), (3, 'Parte 2', 'nada de nada'), (4, 'PART 3', 'nada'), (5, 'Capítulo IV', 'nada'), (6, '1. Inicio del viaje', 'nada'), (7, 'Interludio', 'nada'), (8, 'Epílogo', 'nada'), (9, 'Short Story', 'La Luna Roja'), (10, 'Afterword', 'Palabras del autor'), (11, 'texto corriente', 'Capítulo 5'), (12, 'Agradecimientos', 'Gracias'), (13, 'Capítulo extra', 'El Último Día'), (14, 'Omake', 'Fin'), (15, 'Capítulo 7', 'Prólogo'), (16, 'Chapter 12 - The End', 'x'), (17, '', 'Introducción')",
+    ("100 + k", D.one_of(1, "'Capítulo ' || n || ': ' || priority", "'Parte ' || n", "'Prólogo'", "'Epílogo'", "'Short Story'", "n || '. Inicio del viaje'", "'— Chapter IV —'", "'Afterword'", "'Agradecimientos'", "''", "'texto ' || k"), D.one_of(2, "'La Luna Roja'", "'nada de nada'", "'Palabras del autor'", "'Prólogo'", "'Capítulo ' || n", "priority")),
+)
+TOC_PAGES = Rows(
+    "id, a, b, c",
+    "(1, 'Índice', 'x', 'y'), (2, 'Capítulo 1 .... 3', 'Capítulo 2 .... 9', 'z'), (3, 'Capítulo 1', 'uno', 'dos'), (4, 'Prólogo | 3', 'Epílogo | 9', 'Afterword | 12'), (5, 'a', 'b', 'c'), (6, 'Prólogo', 'Capítulo uno', 'Epílogo 1 2 3'), (7, 'Capítulo a ..', 'Epílogo b ..', 'Afterword c')",
+    ("100 + k", *(D.one_of(x, "'Capítulo ' || n || ' .... ' || k % 300", "'Prólogo | ' || n", "'Epílogo'", "'El índice'", "'uno'", "'dos 3 4'", "'texto ' || k") for x in (1, 2, 3))),
 )
-TOC_PAGES = Rows("id, a, b, c", "(1, 'Índice', 'x', 'y'), (2, 'Capítulo 1 .... 3', 'Capítulo 2 .... 9', 'z'), (3, 'Capítulo 1', 'uno', 'dos'), (4, 'Prólogo | 3', 'Epílogo | 9', 'Afterword | 12'), (5, 'a', 'b', 'c'), (6, 'Prólogo', 'Capítulo uno', 'Epílogo 1 2 3'), (7, 'Capítulo a ..', 'Epílogo b ..', 'Afterword c')")
 FLAT = Rows(
     "book_id, para_no, text",
     "('a', 0, 'una línea suelta'), ('a', 1, ''), ('a', 2, 'Prólogo'), ('a', 3, 'texto del prólogo'), ('a', 4, 'Capítulo 1: Lanzamiento'), ('a', 5, 'uno'), ('a', 6, ' dos '), ('a', 7, 'Epílogo'), ('b', 0, 'Capítulo 2'), ('b', 1, 'Parte 3'), ('b', 2, 'tres'), ('b', 3, CAST(NULL AS VARCHAR(9))), ('c', 0, 'solo'), ('c', 1, 'texto'), ('d', 0, '  '), ('e', 0, 'Índice'), ('e', 1, 'Short Story'), ('e', 2, 'fin')",
@@ -28,36 +33,81 @@ FLAT = Rows(
 FLAGS = Rows(
     "book_id, page_idx, kind, is_toc, continues, is_empty",
     "('a', 0, CAST(NULL AS STRING), false, false, true), ('a', 1, NULL, true, false, false), ('a', 2, NULL, false, true, false), ('a', 3, NULL, false, false, true), ('a', 4, NULL, false, true, false), ('a', 5, 'part', false, false, false), ('a', 6, 'prologue', false, false, false), ('a', 7, NULL, false, false, false), ('a', 8, 'chapter', false, true, false), ('a', 9, 'epilogue', false, false, false), ('b', 0, NULL, true, true, false), ('b', 1, NULL, false, true, false), ('b', 2, NULL, false, false, true), ('b', 3, 'part', false, false, false), ('b', 4, 'afterword', false, false, false), ('c', 0, 'chapter', false, false, false), ('c', 1, NULL, true, true, false), ('c', 2, 'epilogue', false, false, false)",
+    ("book", "n", f"CASE {D.pick(1, 14)} WHEN 0 THEN 'prologue' WHEN 1 THEN 'chapter' WHEN 2 THEN 'epilogue' WHEN 3 THEN 'part' WHEN 4 THEN 'afterword' END", f"{D.pick(2, 6)} = 0 AND {D.pick(4, 5)} <> 0", f"{D.pick(3, 2)} = 0 AND {D.pick(4, 5)} <> 0", f"{D.pick(4, 5)} = 0 AND {D.pick(1, 14)} > 4"),
+)
+RANGES = Rows(
+    "book_id, ch_idx, start_idx, end_idx",
+    "('b', 0, 0, 3), ('b', 0, 3, 5), ('b', 0, 7, 9), ('b', 1, 2, 4), ('b', 1, 3, 3), ('b', 2, 5, 9), ('b', 2, 1, 2)",
+    ("book", D.inside(3), D.pick(1, 30), f"{D.pick(1, 30)} + {D.pick(2, 8)}"),
+)
+TOTALS = Rows(
+    "book_id, ch_idx, total",
+    "('b', 0, 12), ('b', 1, 4), ('b', 2, 9), ('b', 3, 6), ('b', 4, 0)",
+    ("book", "n", D.pick(3, 40)),
+    where="n < 3",
+)
+FRAGMENTS = Rows(
+    "book_id, pos, ch_idx, start_idx, end_idx",
+    "('b', 0, 0, 0, 5), ('b', 1, 0, 7, 9), ('b', 2, 0, 5, 7), ('b', 3, 0, 9, 12), ('b', 4, 1, 0, 0), ('b', 5, 1, 0, 4), ('b', 6, 1, 2, 6), ('b', 7, 0, 11, 14)",
+    ("book", "n", D.inside(2), D.pick(1, 10), f"{D.pick(1, 10)} + {D.pick(2, 6)}"),
 )
-RANGES = Rows("book_id, ch_idx, start_idx, end_idx", "('b', 0, 0, 3), ('b', 0, 3, 5), ('b', 0, 7, 9), ('b', 1, 2, 4), ('b', 1, 3, 3), ('b', 2, 5, 9), ('b', 2, 1, 2)")
-TOTALS = Rows("book_id, ch_idx, total", "('b', 0, 12), ('b', 1, 4), ('b', 2, 9), ('b', 3, 6), ('b', 4, 0)")
-FRAGMENTS = Rows("book_id, pos, ch_idx, start_idx, end_idx", "('b', 0, 0, 0, 5), ('b', 1, 0, 7, 9), ('b', 2, 0, 5, 7), ('b', 3, 0, 9, 12), ('b', 4, 1, 0, 0), ('b', 5, 1, 0, 4), ('b', 6, 1, 2, 6), ('b', 7, 0, 11, 14)")
 SPINE_PAGES = Rows(
     "book_id, page_idx, ch_idx, start_idx, end_idx, visual",
     "('b', 0, -1, CAST(NULL AS INT), CAST(NULL AS INT), true), ('b', 1, 0, 0, 3, false), ('b', 2, 0, NULL, NULL, false), ('b', 3, 0, 3, 5, false), ('b', 4, 0, NULL, NULL, true), ('b', 5, 0, 5, 6, false), ('b', 6, 1, 0, 2, false), ('b', 7, 1, 3, 4, false), ('b', 8, 1, 4, 9, false)",
+    ("book", "n", D.block(4), f"CASE WHEN {D.pick(1, 4)} > 0 THEN n * 3 END", f"CASE WHEN {D.pick(1, 4)} > 0 THEN n * 3 + CASE {D.pick(2, 4)} WHEN 0 THEN 2 ELSE 3 END END", f"{D.pick(1, 4)} = 0 AND {D.pick(3, 2)} = 0"),
+)
+FRONT = Rows(
+    "book_id, page_idx, n_images, ch_idx, width, height",
+    "('b', 1, 1, -1, 800, 1200), ('b', 2, 1, -1, 800, 1200), ('b', 3, 1, -1, 800, 1200), ('b', 5, 1, -1, 100, 1200), ('b', 6, 1, -1, 900, 900), ('b', 7, 2, -1, 900, 900), ('b', 8, 1, 0, 900, 900), ('b', 9, 1, -1, 3000, 2000), ('b', 10, 1, -1, 10, 10), ('b', 11, 1, -1, 10, 11)",
+    ("book", "n", f"1 + {D.pick(1, 6)} % 2 * {D.pick(1, 3)}", f"CASE {D.pick(2, 5)} WHEN 0 THEN 0 ELSE -1 END", f"200 + {D.pick(3, 2400)}", f"200 + {D.pick(4, 2000)}"),
 )
-FRONT = Rows("book_id, page_idx, n_images, ch_idx, width, height", "('b', 1, 1, -1, 800, 1200), ('b', 2, 1, -1, 800, 1200), ('b', 3, 1, -1, 800, 1200), ('b', 5, 1, -1, 100, 1200), ('b', 6, 1, -1, 900, 900), ('b', 7, 2, -1, 900, 900), ('b', 8, 1, 0, 900, 900), ('b', 9, 1, -1, 3000, 2000), ('b', 10, 1, -1, 10, 10), ('b', 11, 1, -1, 10, 11)")
 COVERS = Rows(
     "book_id, page_idx, img_no, name, is_full_page, width, height, n_bytes",
     "('a', 3, 0, 'p3', true, 900, 1200, 90000), ('a', 0, 1, 'p0', false, 500, 500, 9000), ('b', 2, 0, 'x', false, 10, 10, 10), ('b', 1, 1, 'y', false, 20, 10, 10), ('c', 0, 0, 'u', false, 10, 10, 90), ('c', 4, 1, 'v', false, 700, 700, 90), ('d', 0, 0, 'm', true, 10, 10, 1), ('d', 0, 1, 'n', true, 10, 10, 1)",
+    ("book", "n", "n", "'p' || k", f"{D.pick(1, 5)} = 0", D.pick(2, 900), D.pick(3, 900), D.pick(4, 20000)),
 )
 STATS = Rows(
     "id, width, height, avg_std, avg_mean, sat_mean, sat_std, gray_std, gray_entropy, color_count, rich_color_count, dominant_ratio, max_channel_range, visible_ratio, vis_std, sat_crop_mean, crop_entropy",
     "(1, 0, 9, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 9, 9, 0.1, 90, 0.5, 50.0, 50.0, 5.0), (2, 100, 100, 50.0, 9.0, 9.0, 9.0, 90.0, 9.0, 2, 9, 0.1, 90, 0.5, 50.0, 50.0, 5.0), (3, 400, 400, 1.0, 9.0, 9.0, 9.0, 90.0, 0.5, 7, 9, 0.1, 90, 0.5, 50.0, 50.0, 5.0), (4, 200, 200, 50.0, 9.0, 1.0, 1.0, 90.0, 9.0, 9, 100, 0.8, 90, 0.5, 50.0, 50.0, 5.0), (5, 500, 500, 50.0, 9.0, 9.0, 9.0, 90.0, 9.0, 1, 9, 0.1, 90, 0.5, 50.0, 50.0, 5.0), (6, 210, 210, 7.0, 99.0, 9.0, 9.0, 90.0, 9.0, 9, 900, 0.1, 90, 0.5, 50.0, 50.0, 5.0), (7, 400, 400, 4.0, 250.0, 90.0, 90.0, 90.0, 9.0, 9, 900, 0.1, 90, 0.5, 50.0, 50.0, 5.0), (8, 500, 500, 40.0, 99.0, 90.0, 90.0, 90.0, 9.0, 9, 900, 0.1, 90, 0.5, 5.0, 5.0, 2.0), (9, 560, 560, 40.0, 99.0, 90.0, 90.0, 90.0, 9.0, 9, 900, 0.1, 30, 0.5, 9.0, 9.0, 2.5), (10, 900, 900, 40.0, 99.0, 90.0, 90.0, 90.0, 9.0, 9, 900, 0.1, 5, 0.95, 50.0, 50.0, 1.0), (11, 600, 600, 40.0, 99.0, 7.0, 5.0, 11.0, 2.0, 9, 900, 0.1, 90, 0.5, 50.0, 50.0, 5.0), (12, 900, 1200, 60.0, 120.0, 50.0, 40.0, 60.0, 7.0, 9, 4000, 0.1, 250, 0.99, 60.0, 50.0, 7.0)",
+    ("100 + k", D.pick(1, 700), D.pick(2, 700), D.part(3, 30, 2), D.part(4, 255, 1), D.part(5, 24, 2), D.part(6, 24, 2), D.part(7, 40, 2), D.part(8, 12, 2), f"1 + {D.pick(9, 6)}", f"1 + {D.pick(10, 900)}", D.part(11, 10, 10), D.pick(12, 60), D.part(13, 20, 20), D.part(14, 40, 2), D.part(15, 40, 2), D.part(16, 16, 4)),
+)
+HISTOGRAMS = Rows(
+    "id, h",
+    "(1, array(1, 1)), (2, array(4, 0)), (3, array(1, 1, 1, 1)), (4, array(0, 0)), (5, array(3, 1, 4, 1, 5))",
+    ("100 + k", f"array({', '.join(D.pick(x, 9) for x in range(5))})"),
+)
+IMAGES = Rows(
+    "book_id, page_idx, img_no, name, is_full_page, caption",
+    "('b', 4, 0, 'i1.jpg', false, 'uno'), ('b', 6, 1, 'i2.jpg', true, ''), ('b', 7, 2, 'i3.jpg', false, 'tres'), ('b', 1, 3, 'i4.jpg', true, ''), ('b', 30, 4, 'i5.jpg', true, ''), ('b', 12, 5, 'i6.jpg', true, 'seis'), ('b', 3, 6, 'i7.jpg', true, '')",
+    ("book", "n", "n", "'i' || k || '.jpg'", f"{D.pick(6, 2)} = 0", D.one_of(7, "''", "'pie ' || k")),
+    where=f"{D.pick(5, 3)} = 0",
+)
+PAGE_MAP = Rows(
+    "book_id, page_idx, ch_idx",
+    "('b', 1, -1), ('b', 3, 0), ('b', 4, 0), ('b', 5, 0), ('b', 6, 0), ('b', 7, 0), ('b', 9, 0), ('b', 12, 1), ('b', 13, 1), ('b', 30, 1)",
+    ("book", "n", f"CASE WHEN n = 0 AND {D.pick(8, 2)} = 0 THEN -1 ELSE {D.block(5)} END"),
+    where=f"{D.pick(9, 6)} > 0",
+)
+PAGE_RANGES = Rows(
+    "book_id, ch_idx, page_idx, start_idx, end_idx",
+    "('b', 0, 4, 0, 4), ('b', 0, 9, 4, 7), ('b', 1, 13, 0, 2)",
+    ("book", D.block(5), "n", "n * 3", "n * 3 + 3"),
+    where=f"n > 0 AND {D.pick(9, 6)} > 0 AND {D.pick(10, 2)} = 0",
 )
-HISTOGRAMS = Rows("id, h", "(1, array(1, 1)), (2, array(4, 0)), (3, array(1, 1, 1, 1)), (4, array(0, 0)), (5, array(3, 1, 4, 1, 5))")
-IMAGES = Rows("book_id, page_idx, img_no, name, is_full_page, caption", "('b', 4, 0, 'i1.jpg', false, 'uno'), ('b', 6, 1, 'i2.jpg', true, ''), ('b', 7, 2, 'i3.jpg', false, 'tres'), ('b', 1, 3, 'i4.jpg', true, ''), ('b', 30, 4, 'i5.jpg', true, ''), ('b', 12, 5, 'i6.jpg', true, 'seis'), ('b', 3, 6, 'i7.jpg', true, '')")
-PAGE_MAP = Rows("book_id, page_idx, ch_idx", "('b', 1, -1), ('b', 3, 0), ('b', 4, 0), ('b', 5, 0), ('b', 6, 0), ('b', 7, 0), ('b', 9, 0), ('b', 12, 1), ('b', 13, 1), ('b', 30, 1)")
-PAGE_RANGES = Rows("book_id, ch_idx, page_idx, start_idx, end_idx", "('b', 0, 4, 0, 4), ('b', 0, 9, 4, 7), ('b', 1, 13, 0, 2)")
 ITEMS = Rows(
     "book_id, pos, type, ch_idx, start_idx, end_idx, first_text, imgs, hidden",
     "('b', 0, 'chapter_fragment', 0, 0, 5, 'hola', 'a,b', ''), ('b', 1, 'chapter_fragment', 0, 4, 9, 'hola', 'b,c', ''), ('b', 2, 'chapter_fragment', 0, 9, 12, 'más', 'c', 'c'), ('b', 3, 'img_page', -1, 0, 0, '', '', ''), ('b', 4, 'chapter_fragment', 0, 9, 12, 'más', 'c', ''), ('b', 5, 'chapter_fragment', 1, 0, 2, '', 'c', ''), ('b', 6, 'chapter_fragment', 1, 2, 3, '', '', '')",
+    ("book", "n", f"CASE {D.pick(1, 5)} WHEN 0 THEN 'img_page' ELSE 'chapter_fragment' END", f"CASE {D.pick(1, 5)} WHEN 0 THEN -1 ELSE {D.block(4)} END", f"n * 3 - {D.pick(2, 2)}", "n * 3 + 3", D.one_of(3, "''", "'hola'", "'más'"), D.one_of(4, "''", "'a,b'", "'b,c'", "'c'"), D.one_of(5, "'b'", "''", "''")),
+)
+TEXTS = Rows(
+    "book_id, ch_idx, pos, text",
+    "('b', 0, 0, 'cero'), ('b', 0, 1, 'uno & *dos*'), ('b', 0, 2, 'tres'), ('b', 0, 5, 'cinco'), ('b', 0, 8, 'ocho'), ('b', 1, 0, 'a<b'), ('b', 1, 3, 'z')",
+    ("book", D.block(6), D.inside(6), D.one_of(1, "'uno & *dos* ' || k", "'a<b> **c** ' || priority", "'tres ' || k", "'—' || priority")),
 )
-TEXTS = Rows("book_id, ch_idx, pos, text", "('b', 0, 0, 'cero'), ('b', 0, 1, 'uno & *dos*'), ('b', 0, 2, 'tres'), ('b', 0, 5, 'cinco'), ('b', 0, 8, 'ocho'), ('b', 1, 0, 'a<b'), ('b', 1, 3, 'z')")
 
 
 def page_heading(spark, sf_dir):
-    h = PARAS.frame(spark).select("id", T.page_heading(F.filter(F.array("a", "b"), lambda x: x != "")).alias("h"))
+    h = PARAS.frame(spark, sf_dir).select("id", T.page_heading(F.filter(F.array("a", "b"), lambda x: x != "")).alias("h"))
     return h.where("h is not null").select("id", "h.kind", "h.title", "h.subtitle", "h.consume")
 
 
@@ -85,7 +135,7 @@ _HEADING_SQL = lambda rows: f"""WITH n AS (SELECT id, {D.heading('a')} AS a, {D.
 
 
 def toc_pages(spark, sf_dir):
-    return TOC_PAGES.frame(spark).select("id", T.is_toc_page(F.array("a", "b", "c")).alias("is_toc"))
+    return TOC_PAGES.frame(spark, sf_dir).select("id", T.is_toc_page(F.array("a", "b", "c")).alias("is_toc"))
 
 
 _TOC_SCORES = "[" + ", ".join(D.toc_score(f"h{x}") for x in "abc") + "]"
@@ -98,7 +148,7 @@ _FLAGS_SQL = FLAGS.sql.replace("AS STRING", "AS VARCHAR")
 
 
 def toc_scan(spark, sf_dir):
-    return S.mark_pages(FLAGS.frame(spark)).select("book_id", "page_idx", "toc", "first_body", "auxiliary", "front_matter")
+    return S.mark_pages(FLAGS.frame(spark, sf_dir)).select("book_id", "page_idx", "toc", "first_body", "auxiliary", "front_matter")
 
 
 MARK_SQL = f"""WITH RECURSIVE p AS (SELECT *, coalesce(min(page_idx) FILTER (kind IN ('prologue', 'chapter')) OVER (PARTITION BY book_id), -1) AS early, max(page_idx) OVER (PARTITION BY book_id) + 1 AS n FROM {_FLAGS_SQL}),
@@ -112,7 +162,7 @@ TOC_SCAN_SQL = MARK_SQL + " SELECT book_id, page_idx, toc, first_body, auxiliary
 
 
 def sections_pages(spark, sf_dir):
-    x = S.fold(S.mark_pages(FLAGS.frame(spark)), F.col("page_idx") != 5)
+    x = S.fold(S.mark_pages(FLAGS.frame(spark, sf_dir)), F.col("page_idx") != 5)
     return x.select("book_id", "page_idx", "starts", F.coalesce("ch_idx", F.lit(-1)).alias("ch_idx"))
 
 
@@ -134,7 +184,7 @@ def document_sections(spark, sf_dir):
 def sections_paragraphs(spark, sf_dir):
     """Sections of texts without pages, with their sizes: made-up books, and conversations with a paragraph a turn."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), F.col("turn").alias("para_no"), "text")
-    told, text = S.paragraph_sections(FLAT.frame(spark).unionByName(turns))
+    told, text = S.paragraph_sections(FLAT.frame(spark, sf_dir).unionByName(turns))
     n = text.groupBy("book_id", "ch_idx").agg(F.count("*").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars"))
     x = told.join(n, ["book_id", "ch_idx"], "left")
     return x.select("book_id", "ch_idx", "title", "subtitle", "section_kind", "is_intro", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
@@ -183,7 +233,7 @@ def decorative_pages(spark, sf_dir):
 
 
 def image_artifact_rules(spark, sf_dir):
-    return STATS.frame(spark).select("id", I.artifact_rule().alias("rule"))
+    return STATS.frame(spark, sf_dir).select("id", I.artifact_rule().alias("rule"))
 
 
 ARTIFACT_SQL = f"""SELECT id, CASE WHEN area <= 0 THEN 0
@@ -224,31 +274,31 @@ PIXEL_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, C
 
 
 def histogram_entropy(spark, sf_dir):
-    return HISTOGRAMS.frame(spark).select("id", F.round(I.entropy(F.transform("h", lambda c: c.cast("double"))), 6).alias("entropy"))
+    return HISTOGRAMS.frame(spark, sf_dir).select("id", F.round(I.entropy(F.transform("h", lambda c: c.cast("double"))), 6).alias("entropy"))
 
 
 ENTROPY_SQL = f"SELECT id, round(coalesce(-sum(c / t * log2(c / t)) FILTER (c > 0) + 0, 0), 6) AS entropy FROM (SELECT id, unnest(h) AS c, CAST(list_sum(h) AS DOUBLE) AS t FROM {HISTOGRAMS.sql.replace('array(', 'list_value(')}) GROUP BY id"
 
 
 def cover_pick(spark, sf_dir):
-    return I.pick_cover(COVERS.frame(spark))
+    return I.pick_cover(COVERS.frame(spark, sf_dir))
 
 
 COVER_SQL = f"""SELECT book_id, page_idx, img_no, name FROM {COVERS.sql} QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY NOT (is_full_page OR width * height >= 160000 OR n_bytes >= 12000), page_idx <> 0, NOT is_full_page, page_idx, -width * height, img_no) = 1"""
 
 
 def cover_resolve(spark, sf_dir):
-    x = I.pick_cover(COVERS.frame(spark))
+    x = I.pick_cover(COVERS.frame(spark, sf_dir))
     manual = F.when(F.col("book_id") == "a", "own.jpg").otherwise("")
     return x.select("book_id", I.resolve_cover(manual, F.col("name")).alias("cover"))
 
 
 def page_ranges(spark, sf_dir):
-    return S.page_ranges(TEXTS.frame(spark).withColumn("page_idx", F.floor(F.col("pos") / 3).cast("int")))
+    return S.page_ranges(TEXTS.frame(spark, sf_dir).withColumn("page_idx", F.floor(F.col("pos") / 3).cast("int")))
 
 
 def neighbor_text_page(spark, sf_dir):
-    x = PAGE_MAP.frame(spark).where("ch_idx >= 0").join(PAGE_RANGES.frame(spark).select("book_id", "ch_idx", "page_idx", F.lit(True).alias("t")), ["book_id", "ch_idx", "page_idx"], "left")
+    x = PAGE_MAP.frame(spark, sf_dir).where("ch_idx >= 0").join(PAGE_RANGES.frame(spark, sf_dir).select("book_id", "ch_idx", "page_idx", F.lit(True).alias("t")), ["book_id", "ch_idx", "page_idx"], "left")
     return I.neighbour_pages(x.withColumn("has_text", F.coalesce("t", F.lit(False)))).select("book_id", "ch_idx", "page_idx", "before", "after")
 
 
@@ -257,7 +307,7 @@ _NEAR = f"""(SELECT m.book_id, m.ch_idx, m.page_idx, (SELECT max(r.page_idx) FRO
 
 
 def image_anchors(spark, sf_dir):
-    return I.anchor_images(IMAGES.frame(spark), PAGE_MAP.frame(spark), PAGE_RANGES.frame(spark))
+    return I.anchor_images(IMAGES.frame(spark, sf_dir), PAGE_MAP.frame(spark, sf_dir), PAGE_RANGES.frame(spark, sf_dir))
 
 
 ANCHOR_SQL = f"""SELECT i.book_id, n.ch_idx, CASE WHEN is_full_page THEN coalesce(p.end_idx, 0) - 1 ELSE coalesce(o.end_idx, 0) - 1 END AS after_para_idx, name AS imgname, caption, CASE WHEN is_full_page THEN 'fullblock' ELSE 'inline' END AS layout, i.page_idx
@@ -266,7 +316,7 @@ ANCHOR_SQL = f"""SELECT i.book_id, n.ch_idx, CASE WHEN is_full_page THEN coalesc
 
 
 def spine_segments(spark, sf_dir):
-    return Z.segments(SPINE_PAGES.frame(spark))
+    return Z.segments(SPINE_PAGES.frame(spark, sf_dir))
 
 
 SEGMENT_SQL = f"""WITH RECURSIVE k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page_idx) AS rn FROM {SPINE_PAGES.sql} WHERE start_idx IS NOT NULL OR visual),
@@ -277,7 +327,7 @@ SEGMENT_SQL = f"""WITH RECURSIVE k AS (SELECT *, row_number() OVER (PARTITION BY
 
 
 def front_visual_pairs(spark, sf_dir):
-    return I.pair_front_pages(FRONT.frame(spark))
+    return I.pair_front_pages(FRONT.frame(spark, sf_dir))
 
 
 FRONT_SQL = f"""WITH RECURSIVE c AS (SELECT book_id, page_idx FROM {FRONT.sql} WHERE n_images = 1 AND ch_idx < 0 AND greatest(width, height) / greatest(1, least(width, height)) <= 1.9 AND width * height <= 3000000),
@@ -287,7 +337,7 @@ FRONT_SQL = f"""WITH RECURSIVE c AS (SELECT book_id, page_idx FROM {FRONT.sql} W
 
 
 def interval_merge(spark, sf_dir):
-    return Z.merge_intervals(RANGES.frame(spark))
+    return Z.merge_intervals(RANGES.frame(spark, sf_dir))
 
 
 _MERGED = lambda source, key: f"""(SELECT {key}, start_idx, max(reach) AS end_idx FROM (SELECT {key}, s AS start_idx, e AS reach FROM (
@@ -309,7 +359,7 @@ ORDER_SQL = """WITH o AS (SELECT o_custkey, CAST(datediff('day', DATE '1990-01-0
 
 
 def interval_gaps(spark, sf_dir):
-    return Z.gaps(RANGES.frame(spark), TOTALS.frame(spark))
+    return Z.gaps(RANGES.frame(spark, sf_dir), TOTALS.frame(spark, sf_dir))
 
 
 GAPS_SQL = f"""WITH u AS (SELECT book_id, ch_idx, i FROM (SELECT *, unnest(range(0, total)) AS i FROM {TOTALS.sql}) t WHERE NOT EXISTS (SELECT 1 FROM {RANGES.sql} r WHERE r.book_id = t.book_id AND r.ch_idx = t.ch_idx AND t.i >= r.start_idx AND t.i < r.end_idx))
@@ -317,19 +367,19 @@ GAPS_SQL = f"""WITH u AS (SELECT book_id, ch_idx, i FROM (SELECT *, unnest(range
 
 
 def fragment_normalize(spark, sf_dir):
-    return Z.normalize_fragments(FRAGMENTS.frame(spark))
+    return Z.normalize_fragments(FRAGMENTS.frame(spark, sf_dir))
 
 
 NORMALIZE_SQL = f"""SELECT book_id, pos, ch_idx, s AS start_idx, end_idx, end_idx > s AS is_kept, CASE WHEN end_idx <= s THEN 'empty_drop' WHEN s > start_idx THEN 'overlap_trim' END AS issue
   FROM (SELECT *, greatest(start_idx, coalesce((SELECT max(y.end_idx) FROM {FRAGMENTS.sql} y WHERE y.book_id = f.book_id AND y.ch_idx = f.ch_idx AND y.pos < f.pos AND y.end_idx > y.start_idx), start_idx)) AS s FROM {FRAGMENTS.sql} f)"""
 
 
-def _items(spark):
-    return ITEMS.frame(spark).withColumn("images", F.filter(F.split("imgs", ","), lambda x: x != "")).withColumn("suppress_images", F.filter(F.split("hidden", ","), lambda x: x != ""))
+def _items(spark, sf_dir):
+    return ITEMS.frame(spark, sf_dir).withColumn("images", F.filter(F.split("imgs", ","), lambda x: x != "")).withColumn("suppress_images", F.filter(F.split("hidden", ","), lambda x: x != ""))
 
 
 def fragment_validate(spark, sf_dir):
-    return Z.validate_fragments(_items(spark))
+    return Z.validate_fragments(_items(spark, sf_dir))
 
 
 _ITEMS_SQL = f"(SELECT book_id, pos, type, ch_idx, start_idx, end_idx, first_text, list_filter(string_split(imgs, ','), lambda x: x <> '') AS images, list_filter(string_split(hidden, ','), lambda x: x <> '') AS hide FROM {ITEMS.sql})"
@@ -339,14 +389,14 @@ VALIDATE_SQL = f"""WITH p AS (SELECT b.book_id, b.pos, b.ch_idx, b.start_idx < a
 
 
 def fragment_suppress(spark, sf_dir):
-    return Z.suppress_shared(_items(spark).where("type = 'chapter_fragment'")).select("book_id", "pos", F.array_join("suppress_images", ",").alias("hidden"))
+    return Z.suppress_shared(_items(spark, sf_dir).where("type = 'chapter_fragment'")).select("book_id", "pos", F.array_join("suppress_images", ",").alias("hidden"))
 
 
 SUPPRESS_SQL = f"SELECT book_id, pos, array_to_string(list_sort(coalesce(list_intersect(lag(images) OVER (PARTITION BY book_id, ch_idx ORDER BY pos), images), [])), ',') AS hidden FROM {_ITEMS_SQL} WHERE type = 'chapter_fragment'"
 
 
 def fragment_first_text(spark, sf_dir):
-    return Z.first_texts(FRAGMENTS.frame(spark), TEXTS.frame(spark)).select("book_id", "pos", "first_text")
+    return Z.first_texts(FRAGMENTS.frame(spark, sf_dir), TEXTS.frame(spark, sf_dir)).select("book_id", "pos", "first_text")
 
 
 FIRST_SQL = f"SELECT f.book_id, f.pos, arg_min(t.text, t.pos) AS first_text FROM {FRAGMENTS.sql} f JOIN {TEXTS.sql} t ON t.book_id = f.book_id AND t.ch_idx = f.ch_idx AND t.pos >= f.start_idx AND t.pos < f.end_idx GROUP BY f.book_id, f.pos"
