@@ -66,10 +66,15 @@ def visual_separator(spark, sf_dir):
     return docs.select("doc_id", T.is_separator(F.col("text")).alias("is_separator"), T.is_image_only(F.col("text")).alias("is_image_only"))
 
 
-_CLEANED = D.without_page_number("text")
-_COMPACT = D.collapse(_CLEANED)
-_SEPARATOR = f"""(length({_COMPACT}) <= 70 OR (len(list_filter({D.lines(_CLEANED)}, lambda x: {D.strip('x')} <> '')) <= 4
-  AND {D.count(_COMPACT, f"[{P.LETTERS}']+")} <= 14 AND {D.count(_COMPACT, '[.!?¿¡;:]')} <= 1))"""
+def separator_sql(text: str) -> str:
+    cleaned = D.without_page_number(text)
+    compact = D.collapse(cleaned)
+    return f"""(length({compact}) <= 70 OR (len(list_filter({D.lines(cleaned)}, lambda x: {D.strip('x')} <> '')) <= 4
+  AND {D.count(compact, f"[{P.LETTERS}']+")} <= 14 AND {D.count(compact, '[.!?¿¡;:]')} <= 1))"""
+
+
+_COMPACT = D.collapse(D.without_page_number("text"))
+_SEPARATOR = separator_sql("text")
 VISUAL_SQL = f"SELECT doc_id, {_SEPARATOR} AS is_separator, (length({_COMPACT}) < 20 OR {_SEPARATOR}) AS is_image_only FROM documents"
 
 
@@ -121,7 +126,11 @@ def page_lines(spark, sf_dir):
     return L.page_lines(_pages(spark, sf_dir))
 
 
-LINES_SQL = f"SELECT book_id, page_idx, CAST(i - 1 AS INT) AS line_no, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT book_id, page_idx, {D.lines('raw_text')} AS ls FROM {PAGES}))"
+def lines_sql(pages: str) -> str:
+    return f"SELECT book_id, page_idx, CAST(i - 1 AS INT) AS line_no, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT book_id, page_idx, {D.lines('raw_text')} AS ls FROM {pages}))"
+
+
+LINES_SQL = lines_sql(PAGES)
 
 
 def edge_lines(spark, sf_dir):
@@ -187,7 +196,7 @@ def document_headings(spark, sf_dir):
 DOC_HEADING_SQL = f"SELECT book_id, page_idx, {D.fits('h', P.STRUCTURAL)} AS is_structural, {D.subtitle('h')} AS is_subtitle, {D.toc_score('h')} AS toc_score FROM (SELECT book_id, page_idx, {D.heading('text')} AS h FROM ({LINES_SQL}) WHERE line_no = 0)"
 
 
-def _fold_sql(source: str) -> str:
+def fold_sql(source: str) -> str:
     """The paragraphs by a fold over the lines, one at a time."""
     opens = f"(nxt <> '' AND ({D.structural('nxt')} OR {D.fits('nxt', P.SENTENCE_START, False)} OR {D.fits('nxt', P.DIALOGUE_START, False)}))"
     return f"""WITH RECURSIVE n AS (
@@ -225,7 +234,7 @@ def dialog_system(spark, sf_dir):
     return S.dialogue_system(x.select("book_id", F.col("page_idx").alias("ch_idx"), F.col("para_no").alias("pos"), "text"))
 
 
-DIALOG_SQL = f"""WITH p AS ({_fold_sql(f'({LINES_SQL})')}), c AS (
+DIALOG_SQL = f"""WITH p AS ({fold_sql(f'({LINES_SQL})')}), c AS (
   SELECT book_id, CASE WHEN regexp_matches(text, '^[—–]') THEN 1 WHEN regexp_matches(text, '^─') THEN 2 WHEN regexp_matches(text, '^["«“]') THEN 3 ELSE 4 END AS k, count(*) AS n FROM p WHERE para_no < 20 GROUP BY ALL)
   SELECT book_id, ['guion', 'guion2', 'comillas', 'none'][k] AS system, n FROM c QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY n DESC, k) = 1"""
 
@@ -237,7 +246,7 @@ def flat_text(spark, sf_dir):
     return t.select("book_id", "page_idx", F.md5("t").alias("md5"), F.substring("t", 1, 500).alias("preview"))
 
 
-FLAT_SQL = f"SELECT book_id, page_idx, md5(t) AS md5, left(t, 500) AS preview FROM (SELECT book_id, page_idx, string_agg(text, chr(10) || chr(10) ORDER BY para_no) AS t FROM ({_fold_sql(f'({LINES_SQL})')}) GROUP BY ALL)"
+FLAT_SQL = f"SELECT book_id, page_idx, md5(t) AS md5, left(t, 500) AS preview FROM (SELECT book_id, page_idx, string_agg(text, chr(10) || chr(10) ORDER BY para_no) AS t FROM ({fold_sql(f'({LINES_SQL})')}) GROUP BY ALL)"
 
 QUERIES = {
     "pages_view": Query(pages_view, f"SELECT book_id, page_idx, length(raw_text) AS n_chars FROM {PAGES}"),
@@ -256,8 +265,8 @@ QUERIES = {
     "header_footer_form": Query(header_footer_form, f"SELECT id, {D.header_form('x')} AS form FROM (SELECT id, {D.collapse('line')} AS x FROM {HEADERS.sql})"),
     "heading_lines": Query(heading_lines, HEADING_SQL),
     "document_headings": Query(document_headings, DOC_HEADING_SQL),
-    "paragraphs": Query(paragraphs, _fold_sql(LINES.sql)),
-    "document_paragraphs": Query(document_paragraphs, _fold_sql(f"({LINES_SQL})")),
+    "paragraphs": Query(paragraphs, fold_sql(LINES.sql)),
+    "document_paragraphs": Query(document_paragraphs, fold_sql(f"({LINES_SQL})")),
     "dialog_system": Query(dialog_system, DIALOG_SQL),
     "flat_text": Query(flat_text, FLAT_SQL),
 }

@@ -14,6 +14,7 @@ from ..operators.pixels import pixel_statistics
 from ..sources.tables import book_pages, table
 from . import Query
 from . import sqltext as D
+from .pages import fold_sql, lines_sql, separator_sql
 from .sqltext import Rows
 
 PARAS = Rows(
@@ -115,15 +116,19 @@ def _kind_sql(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {D.fits(x, p)} THEN '{k}'" for k, p in P.SPECIAL) + " END"
 
 
-_HEADING_SQL = lambda rows: f"""WITH n AS (SELECT id, {D.heading('a')} AS a, {D.heading('b')} AS b FROM {rows}),
-  c AS (SELECT id, list_filter([a, b], lambda x: x <> '') AS c FROM n),
-  w AS (SELECT id, c, CASE WHEN {_kind_sql('c[1]')} IS NOT NULL OR {D.fits('c[1]', P.CHAPTER)} OR {D.fits('c[1]', P.PART)} OR {D.fits('c[1]', P.SHORT_STORY)} THEN 1
-    WHEN {_kind_sql('c[2]')} IS NOT NULL OR {D.fits('c[2]', P.CHAPTER)} OR {D.fits('c[2]', P.PART)} OR {D.fits('c[2]', P.SHORT_STORY)} THEN 2 ELSE 1 END AS k FROM c),
-  f AS (SELECT id, k, c[k] AS f, coalesce(c[k + 1], '') AS r FROM w),
-  g AS (SELECT *, {_kind_sql('f')} AS special, {_kind_sql('r')} AS next_special, {D.subtitle('r')} AND {D.toc_score('r')} < 2 AS usable, {D.fits('r', P.CHAPTER)} AS next_chapter,
-    {D.fits('f', P.CHAPTER)} AS is_chapter, {D.fits('f', P.PART)} AS is_part, regexp_extract(f, {D.q('(?i)' + P.CHAPTER)}, 2) AS label, regexp_extract(f, {D.q('(?i)' + P.CHAPTER)}, 4) AS own,
-    regexp_extract(f, {D.q('(?i)' + P.PART)}, 2) AS part_label, regexp_extract(f, {D.q('(?i)' + P.PART)}, 4) AS part_own FROM f),
-  h AS (SELECT *, CASE WHEN special IS NOT NULL THEN special WHEN is_chapter THEN 'chapter' WHEN is_part THEN 'part' WHEN {D.fits('f', P.NUMBERED, False)} THEN 'chapter' END AS kind FROM g),
+def _heads_sql(x: str) -> str:
+    return f"({_kind_sql(x)} IS NOT NULL OR {D.fits(x, P.CHAPTER)} OR {D.fits(x, P.PART)} OR {D.fits(x, P.SHORT_STORY)})"
+
+
+def _candidates_sql(source: str) -> str:
+    """The heading of rows (id, c): c holds heading texts, none of them empty; rows without a heading are left out."""
+    return f"""WITH w AS (SELECT id, c, coalesce(list_position(list_transform(c[:4], lambda x: {_heads_sql('x')}), true), 1) AS k FROM {source}),
+  e AS (SELECT id, k, c[k] AS f, coalesce(c[k + 1], '') AS r FROM w),
+  g AS (SELECT *, length(f) <= 120 AND {D.count('f', '[.]')} < 3 AS short, {_kind_sql('r')} AS next_special, {D.subtitle('r')} AND {D.toc_score('r')} < 2 AS usable, {D.fits('r', P.CHAPTER)} AS next_chapter,
+    regexp_extract(f, {D.q('(?i)' + P.CHAPTER)}, 2) AS label, regexp_extract(f, {D.q('(?i)' + P.CHAPTER)}, 4) AS own,
+    regexp_extract(f, {D.q('(?i)' + P.PART)}, 2) AS part_label, regexp_extract(f, {D.q('(?i)' + P.PART)}, 4) AS part_own FROM e WHERE f <> ''),
+  d AS (SELECT *, CASE WHEN short THEN {_kind_sql('f')} END AS special, short AND {D.fits('f', P.CHAPTER)} AS is_chapter, short AND {D.fits('f', P.PART)} AS is_part FROM g),
+  h AS (SELECT *, CASE WHEN special IS NOT NULL THEN special WHEN is_chapter THEN 'chapter' WHEN is_part THEN 'part' WHEN short AND {D.fits('f', P.NUMBERED, False)} THEN 'chapter' END AS kind FROM d),
   t AS (SELECT *, CASE WHEN special IS NOT NULL THEN '' WHEN is_chapter THEN own WHEN is_part THEN part_own WHEN kind = 'chapter' THEN regexp_extract(f, {D.q(P.NUMBERED)}, 2) ELSE '' END AS mine,
     CASE WHEN special = 'afterword' AND lower(r) = 'palabras del autor' THEN usable WHEN special IS NOT NULL OR is_chapter THEN usable AND next_special IS NULL AND NOT next_chapter WHEN is_part THEN usable ELSE false END AS takes FROM h WHERE kind IS NOT NULL)
   SELECT id, kind, CASE WHEN special = 'prologue' THEN 'Prólogo' WHEN special = 'epilogue' THEN 'Epílogo' WHEN special = 'afterword' THEN CASE WHEN prefix(lower(f), 'afterword') THEN 'Afterword' ELSE 'Palabras del autor' END
@@ -131,7 +136,24 @@ _HEADING_SQL = lambda rows: f"""WITH n AS (SELECT id, {D.heading('a')} AS a, {D.
     WHEN special = 'part' THEN 'Parte ' || regexp_extract(f, '(?i)([0-9]+|[ivxlcdm]+)', 1) WHEN special IS NOT NULL THEN f
     WHEN is_chapter THEN 'Capítulo ' || CASE WHEN regexp_matches(label, '^\\p{{L}}+$') THEN upper(label[1]) || lower(label[2:]) ELSE label END
     WHEN is_part THEN 'Parte ' || part_label ELSE 'Capítulo ' || regexp_extract(f, {D.q(P.NUMBERED)}, 1) END AS title,
-    CASE WHEN takes AND mine = '' THEN r ELSE mine END AS subtitle, CAST(k + CASE WHEN takes AND mine = '' THEN 1 ELSE 0 END AS INT) AS consume FROM t"""
+    CASE WHEN takes AND mine = '' THEN r ELSE mine END AS subtitle, CAST(k + CASE WHEN takes AND mine = '' THEN 1 ELSE 0 END AS INT) AS consume FROM t"""
+
+
+def _headings_sql(texts: str) -> str:
+    return f"list_filter(list_transform({texts}, lambda x: {D.heading('x')}), lambda x: x <> '')"
+
+
+def _contents_sql(c: str) -> str:
+    """Whether a list of paragraphs in a column is a contents page."""
+    j = D.heading(f"array_to_string({c}, ' ')")
+    scores = f"list_transform(list_transform({c}, lambda x: {D.heading('x')}), lambda x: {D.toc_score('x')})"
+    numbers = f"len(list_filter(string_split_regex({j}, {D.q(f'[^{P.WORD}]+')}), lambda x: regexp_matches(x, '^[0-9]{{1,4}}$')))"
+    mentions, dots = D.count(f"lower({j})", P.TOC_MENTIONS), D.count(j, "[.]{2,}")
+    return f"""(len({c}) > 0 AND ({D.fits(f'lower({j})', P.TOC_KEYWORDS, False)} OR len(list_filter({scores}, lambda x: x >= 3)) >= 2
+      OR (len(list_filter({scores}, lambda x: x >= 2)) >= 3 AND {numbers} >= 3) OR ({mentions} >= 3 AND ({numbers} >= 3 OR {dots} >= 2))))"""
+
+
+_HEADING_SQL = lambda rows: _candidates_sql(f"(SELECT id, {_headings_sql('[a, b]')} AS c FROM {rows})")
 
 
 def toc_pages(spark, sf_dir):
@@ -151,13 +173,16 @@ def toc_scan(spark, sf_dir):
     return S.mark_pages(FLAGS.frame(spark, sf_dir)).select("book_id", "page_idx", "toc", "first_body", "auxiliary", "front_matter")
 
 
-MARK_SQL = f"""WITH RECURSIVE p AS (SELECT *, coalesce(min(page_idx) FILTER (kind IN ('prologue', 'chapter')) OVER (PARTITION BY book_id), -1) AS early, max(page_idx) OVER (PARTITION BY book_id) + 1 AS n FROM {_FLAGS_SQL}),
+def _mark_sql(flags: str) -> str:
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, coalesce(min(page_idx) FILTER (kind IN ('prologue', 'chapter')) OVER (PARTITION BY book_id), -1) AS early, max(page_idx) OVER (PARTITION BY book_id) + 1 AS n FROM {flags}),
   scan AS (SELECT book_id, -1 AS page_idx, false AS mode, false AS toc FROM (SELECT DISTINCT book_id FROM p)
     UNION ALL SELECT p.book_id, p.page_idx, inside AND (is_toc OR (mode AND continues)), inside AND (is_toc OR (mode AND continues))
     FROM scan s JOIN (SELECT *, page_idx < CASE WHEN early > 0 THEN early ELSE least(n, 40) END AS inside FROM p) p ON p.book_id = s.book_id AND p.page_idx = s.page_idx + 1),
   b AS (SELECT p.*, s.toc FROM p JOIN scan s USING (book_id, page_idx)),
   f AS (SELECT *, CASE WHEN early >= 0 THEN early ELSE coalesce((SELECT min(x.page_idx) FROM b x WHERE x.book_id = b.book_id AND NOT x.toc AND x.kind IS NOT NULL), -1) END AS first_body FROM b),
   a AS (SELECT *, toc OR (is_empty AND page_idx < first_body AND EXISTS (SELECT 1 FROM f y WHERE y.book_id = f.book_id AND y.toc AND abs(y.page_idx - f.page_idx) <= 1)) AS auxiliary FROM f)"""
+
+MARK_SQL = _mark_sql(_FLAGS_SQL)
 TOC_SCAN_SQL = MARK_SQL + " SELECT book_id, page_idx, toc, first_body, auxiliary, page_idx < first_body AND NOT auxiliary AS front_matter FROM a"
 
 
@@ -173,12 +198,37 @@ SECTIONS_SQL = MARK_SQL + """, u AS (SELECT *, NOT auxiliary AND NOT is_empty AS
   SELECT h.book_id, h.page_idx, starts, CAST(CASE WHEN auxiliary THEN -1 ELSE coalesce((SELECT max(ch) FROM s WHERE s.book_id = h.book_id AND s.page_idx <= h.page_idx), -1) END AS BIGINT) AS ch_idx FROM h"""
 
 
+#: Headings and contents that stand before the text of every twelfth page, in words that both engines read.
+_HEADED = """CASE page_idx % 12 WHEN 1 THEN 'Índice' || chr(10) || 'Capítulo 1 .... 3' || chr(10) WHEN 2 THEN 'Capítulo 2 .... 9' || chr(10) || 'Capítulo 3 .... 12' || chr(10)
+  WHEN 4 THEN 'Prólogo' || chr(10) WHEN 6 THEN 'Capítulo ' || page_idx || ': Una Salida' || chr(10) WHEN 8 THEN 'Parte ' || page_idx || chr(10) || 'El Camino Largo' || chr(10) WHEN 10 THEN 'Epílogo' || chr(10) ELSE '' END || raw_text"""
+
+
 def document_sections(spark, sf_dir):
-    """The whole fold over the documents as books: sections with their sizes."""
-    pages = book_pages(table(spark, sf_dir, "documents"))
+    """The whole fold over the documents as books, headings and contents before some pages: sections with their sizes."""
+    pages = book_pages(table(spark, sf_dir, "documents")).select("book_id", "page_idx", F.expr(_HEADED).alias("raw_text"))
     told, text, _ = S.sections(S.page_paragraphs(pages, L.paragraphs(L.page_lines(pages))))
-    n = text.groupBy("book_id", "ch_idx").agg(F.count("*").alias("n_paragraphs"))
-    return told.join(n, ["book_id", "ch_idx"], "left").select("book_id", F.col("ch_idx").cast("long").alias("ch_idx"), "title", "section_kind", "is_intro", "first_page_idx", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"))
+    n = text.groupBy("book_id", "ch_idx").agg(F.count("*").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars"))
+    x = told.join(n, ["book_id", "ch_idx"], "left")
+    return x.select("book_id", F.col("ch_idx").cast("long").alias("ch_idx"), "title", "subtitle", "section_kind", "is_intro", "first_page_idx", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
+_HEADED_PAGES = f"(SELECT book_id, page_idx, {_HEADED} AS raw_text FROM {D.PAGES})"
+_DESCRIBED = f"""(WITH t AS MATERIALIZED ({fold_sql(f"({lines_sql(_HEADED_PAGES)})")}),
+    g AS MATERIALIZED (SELECT w.book_id, w.page_idx, coalesce(p.paras, []) AS paras FROM {D.PAGES} w LEFT JOIN (SELECT book_id, page_idx, list(text ORDER BY para_no) AS paras FROM t WHERE text <> '' GROUP BY ALL) p USING (book_id, page_idx)),
+    c AS MATERIALIZED (SELECT book_id || ':' || page_idx AS id, {_headings_sql('paras[:5]')} AS c FROM g),
+    h AS MATERIALIZED ({_candidates_sql(f"(SELECT * FROM c WHERE len(c) > 0 AND NOT ({D.toc_score('c[1]')} >= 3 AND {_contents_sql('c')}))")})
+  SELECT book_id, page_idx, paras, kind, title, subtitle, consume, {_contents_sql('paras')} AS is_toc,
+    coalesce(list_sum(list_transform(list_transform(paras[:6], lambda x: {D.heading('x')}), lambda x: {D.toc_score('x')})), 0) >= 5 AS continues, len(paras) = 0 AS is_empty
+  FROM g LEFT JOIN h ON h.id = book_id || ':' || page_idx)"""
+_KEPT = "paras[(CASE WHEN starts THEN consume ELSE 0 END) + 1:]"
+DOCUMENT_SECTIONS_SQL = _mark_sql(_DESCRIBED) + f""", u AS (SELECT *, NOT auxiliary AND NOT is_empty AS usable FROM a),
+  h AS (SELECT *, usable AND kind IS NOT NULL AND (kind NOT IN ('epilogue', 'afterword', 'acknowledgements') OR EXISTS (SELECT 1 FROM u y WHERE y.book_id = u.book_id AND y.usable AND y.kind IN ('prologue', 'chapter') AND y.page_idx < u.page_idx)) AS starts FROM u),
+  j AS (SELECT *, array_to_string({_KEPT}, ' ') AS text FROM h),
+  k AS MATERIALIZED (SELECT *, CASE WHEN auxiliary OR (len({_KEPT}) <= 2 AND {separator_sql('text')}) THEN [] ELSE {_KEPT} END AS kept FROM j),
+  i AS (SELECT book_id, min(page_idx) AS page_idx FROM k WHERE usable AND len(kept) > 0 AND NOT EXISTS (SELECT 1 FROM k y WHERE y.book_id = k.book_id AND y.starts AND y.page_idx <= k.page_idx) GROUP BY book_id),
+  s AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page_idx) - 1 AS ch FROM (SELECT book_id, page_idx, title, subtitle, kind FROM k WHERE starts UNION ALL SELECT book_id, page_idx, 'Introducción', '', 'intro' FROM i)),
+  n AS (SELECT book_id, ch, CAST(sum(len(kept)) AS BIGINT) AS n, CAST(sum(length(array_to_string(kept, ''))) AS BIGINT) AS chars FROM (SELECT k.book_id, kept, (SELECT max(ch) FROM s WHERE s.book_id = k.book_id AND s.page_idx <= k.page_idx) AS ch FROM k WHERE NOT auxiliary) GROUP BY book_id, ch)
+  SELECT s.book_id, ch AS ch_idx, title, subtitle, kind AS section_kind, kind <> 'chapter' AS is_intro, page_idx AS first_page_idx, coalesce(n, 0) AS n_paragraphs, coalesce(chars, 0) AS n_chars FROM s LEFT JOIN n USING (book_id, ch)"""
 
 
 def sections_paragraphs(spark, sf_dir):
@@ -407,7 +457,7 @@ QUERIES = {
     "toc_pages": Query(toc_pages, TOC_SQL),
     "toc_scan": Query(toc_scan, TOC_SCAN_SQL),
     "sections_pages": Query(sections_pages, SECTIONS_SQL),
-    "document_sections": Query(document_sections),
+    "document_sections": Query(document_sections, DOCUMENT_SECTIONS_SQL),
     "sections_paragraphs": Query(sections_paragraphs, FLAT_SQL),
     "page_to_section": Query(page_to_section, ASOF_SQL),
     "decorative_filter": Query(decorative_filter, DECOR_SQL),
