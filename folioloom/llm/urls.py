@@ -1,7 +1,9 @@
 """URL filters with redirect equivalence.
 
 A rule fits its host and all subdomains where the path starts with the rule's;
-the longest wins, and of equally long ones an allow.  Pages that no rule fits
+the longest wins, of equally long ones an allow, then the greatest host.  A few
+rules come as a list and make one expression; a table of any number of rules
+(verdict, host, path) comes as a DataFrame and is joined.  Pages that no rule fits
 take the decision of their equivalence class: the connected component over
 redirects and canonical links, found distributedly.  A class with an allowed
 member is allowed; else one with a blocked member is blocked; else the default
@@ -49,12 +51,52 @@ def host_path(url: Column) -> tuple[Column, Column]:
 def fitting(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Column]:
     """Name and verdict of the longest rule that fits; null if none does."""
     name = verdict = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.name), r.verdict == ALLOW)):
+    for r in sorted(rules, key=lambda r: (len(r.name), r.verdict == ALLOW, r.host)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         name, verdict = F.when(fits, r.name).otherwise(name), F.when(fits, r.verdict).otherwise(verdict)
     return name, verdict
 
 
+#: Copies of each row of a rule table in its joins, so that a host or url with a large share of the rows is met in as many tasks.
+SALTS = 16
+
+
+def _salted(left: DataFrame, by: Column, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with the smaller right on keys; rows of one key are dealt by `by`."""
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+def fitting_rows(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, own) for the distinct (host, path) of urls that a rule of the table (verdict, host, path) fits.
+
+    Each host's suffixes meet the rules' hosts, which say how long their paths
+    are; then heads of just these lengths meet the rules themselves.  Rules
+    without a host or with another verdict are left out; a null path is empty.
+    """
+    table = rules.where(F.col("host").isNotNull() & F.col("verdict").isin(ALLOW, BLOCK)).groupBy(F.col("host").alias("__host"), F.coalesce("path", F.lit("")).alias("__head")).agg(F.max(F.col("verdict") == ALLOW).alias("__allow"))
+    lengths = table.groupBy("__host").agg(F.collect_set(F.length("__head")).alias("__lengths"))
+    keys = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = _salted(keys.select("host").distinct().withColumn("__host", F.explode(suffixes)), F.col("host"), lengths, ["__host"])
+    hosts = hosts.groupBy("host").agg(F.collect_list(F.struct("__host", "__lengths")).alias("__reach"))
+    heads = _salted(keys, F.col("path"), hosts, ["host"]).select("host", "path", F.explode("__reach").alias("r"))
+    heads = heads.select("host", "path", F.col("r.__host").alias("__host"), F.explode("r.__lengths").alias("__n")).where(F.col("__n") <= F.length("path"))
+    heads = heads.withColumn("__head", F.substring(F.col("path"), F.lit(1), F.col("__n")))
+    found = _salted(heads, F.concat("host", "path"), table, ["__host", "__head"])
+    best = found.groupBy("host", "path").agg(F.max(F.struct((F.length("__host") + F.length("__head")).alias("n"), "__allow", "__host", "__head")).alias("b"))
+    return best.select("host", "path", F.concat("b.__host", "b.__head").alias("rule"), F.when(F.col("b.__allow"), ALLOW).otherwise(BLOCK).alias("own"))
+
+
+def with_rule(rows: DataFrame, by: Column, rules: list[Rule] | DataFrame) -> DataFrame:
+    """rows (host, path, ...) with rule and own verdict, null where none fits; `by` deals the rows of one url."""
+    if isinstance(rules, DataFrame):
+        return _salted(rows, by, fitting_rows(rows, rules), ["host", "path"], "left")
+    rule, own = fitting(rules, F.col("host"), F.col("path"))
+    return rows.withColumns({"rule": rule, "own": own})
+
+
 def _node(url: Column) -> Column:
     """What stands for a url in the graph: without its fragment, host in lower case; null without a host."""
     host, _ = host_path(url)
@@ -128,13 +170,13 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.select(_node(F.col("url")).alias("a"), let(resolved(base, F.col("to")), _node).alias("b")).where("a is not null and b is not null")
 
 
-def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, default: str = ALLOW) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None, default: str = ALLOW) -> DataFrame:
     """page_id, host, path, rule and verdict for every row of pages (page_id, url, html); redirects: (source, target) urls."""
     shelf = Shelf(pages.sparkSession)
     url = F.col("url").cast("string")
     host, path = host_path(url)
-    name, verdict = fitting(rules, host, path)
-    judged = pages.select("page_id", host.alias("host"), path.alias("path"), name.alias("rule"), verdict.alias("own"), F.when(verdict.isNull(), _node(url)).alias("node"))
+    judged = with_rule(pages.select("page_id", host.alias("host"), path.alias("path"), _node(url).alias("node")), F.struct("page_id", "node"), rules)
+    judged = judged.select("page_id", "host", "path", "rule", "own", F.when(F.col("own").isNull(), F.col("node")).alias("node"))
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select(_node(F.col("source")).alias("a"), _node(F.col("target")).alias("b")).where("a is not null and b is not null"))
@@ -142,8 +184,9 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     if classes.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit(default)).alias("verdict"))
     member = F.concat(F.lit("http://"), F.col("node"))
-    _, said = fitting(rules, *host_path(member))
-    by_class = classes.select("component", said.alias("said")).groupBy("component").agg(F.max(F.col("said") == ALLOW).alias("allows"), F.max(F.col("said") == BLOCK).alias("blocks"))
+    host, path = host_path(member)
+    members = with_rule(classes.select("component", "node", host.alias("host"), path.alias("path")), F.col("node"), rules)
+    by_class = members.select("component", F.col("own").alias("said")).groupBy("component").agg(F.max(F.col("said") == ALLOW).alias("allows"), F.max(F.col("said") == BLOCK).alias("blocks"))
     passed = F.when(F.col("allows"), ALLOW).when(F.col("blocks"), BLOCK)
     aliases = shelf.put(classes.join(by_class, "component").select("node", passed.alias("passed")))
     # Pages with a rule of their own have no node; they stay out of the join, where one null key would hold them all.

@@ -107,3 +107,36 @@ def test_components_of_random_graphs(spark):
     got = {r.page_id: r.verdict for r in urls.judge(pages, queries.RULES, redirects).collect()}
     want = {k: verdict(n) for k, n in enumerate(names)}
     assert got == want and set(want.values()) == {"allow", "block"} and sum(own(n) is None and want[k] == "block" for k, n in enumerate(names)) > 3
+
+
+def test_rule_tables(spark):
+    """Rules as a table against each rule tried in turn: subdomains, ties, empty and repeated paths, odd urls and repeated rows; and very many rules."""
+    rng = random.Random(7)
+    labels = ["a", "b", "com", "org", "x-y", ""]
+    host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4)))
+    path = lambda: "".join(rng.choice(["/", "d", "e", "é"]) for _ in range(rng.randint(0, 5)))
+    rules = [(rng.choice(["allow", "block"]), host(), path()) for _ in range(150)]
+    pages = [(k, f"http://{host()}/{path()}?{path()}") for k in range(400)] + [(k, "http://a.com/d") for k in range(300)] + [(None, "http://a.com/d"), (1, None), (2, "no url"), (3, "http://")]
+    rows = spark.createDataFrame([(*p, None, "clash") for p in pages], "page_id long, url string, html string, rule string")
+    table = spark.createDataFrame([*rules, rules[0], ("block", None, "/"), ("maybe", "com", "/"), (None, "com", "/")], "verdict string, host string, path string")
+    redirects = spark.createDataFrame([("http://q.net/1", "http://a.com/d"), ("http://q.net/2", "http://q.net/1")], "source string, target string")
+    more = spark.createDataFrame([(k, f"http://q.net/{k}", None, None) for k in (1, 2, 3)], rows.schema)
+    rows = rows.unionByName(more)
+
+    def best(host, path):
+        fit = [(len(h + p), v == "allow", h, p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (max(fit)[2] + max(fit)[3], max(fit)[4]) if fit else (None, None)
+
+    got = [tuple(r) for r in urls.judge(rows, table, redirects).select("page_id", "host", "path", "rule", "verdict").collect()]
+    assert len(got) == len(pages) + 3
+    passed = best("a.com", "/d")[1] or best("q.net", "/1")[1] or "allow"
+    for page, h, p, rule, verdict in got:
+        name, own = best(h, p)
+        assert rule == name and verdict == (own or (passed if h == "q.net" and p in ("/1", "/2") else "allow")), (page, h, p)
+    few = spark.createDataFrame(rules[:12], table.schema)
+    told = lambda found: sorted(repr(tuple(r)) for r in urls.judge(rows, found).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert told(few) == told([urls.Rule(*r) for r in rules[:12]])
+    assert urls.judge(rows, table.limit(0)).where("rule is not null").isEmpty() and urls.judge(rows.limit(0), table).isEmpty()
+    many = spark.range(100_000).selectExpr("if(id % 2 = 0, 'block', 'allow') as verdict", "concat('h', id, '.net') as host", "concat('/', id % 7) as path")
+    few = spark.range(1000).selectExpr("id as page_id", "concat('http://www.h', id * 50, '.net/', id * 50 % 7, '/x') as url", "cast(null as string) as html")
+    assert urls.judge(few, many).where("rule is not null and verdict = 'block'").count() == 1000
