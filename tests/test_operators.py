@@ -117,3 +117,11 @@ def test_cleaning_stays_out_of_python(spark):
     frame = spark.createDataFrame([("b", 0, "x")], "book_id string, page_idx int, raw_text string")
     plan = L.paragraphs(L.clean_lines(frame))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_gaps_end_at_the_total(spark):
+    """Empty ranges split no gap, ranges beyond the total make none, and one that reaches over it ends the last."""
+    ranges = spark.createDataFrame([("b", 0, 2, 4), ("b", 0, 7, 7), ("b", 0, 20, 25), ("b", 1, 8, 30), ("b", 2, 5, 5)], "book_id string, ch_idx int, start_idx int, end_idx int")
+    totals = spark.createDataFrame([("b", 0, 10), ("b", 1, 9), ("b", 2, 0), ("b", 3, 3)], "book_id string, ch_idx int, total int")
+    got = sorted(tuple(r) for r in Z.gaps(ranges, totals).select("ch_idx", "start_idx", "end_idx").collect())
+    assert got == [(0, 0, 2), (0, 4, 10), (1, 0, 8), (3, 0, 3)]
