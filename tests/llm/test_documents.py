@@ -257,6 +257,42 @@ def test_packing(docs):
         assert [p[0] for p in pieces] == [sum(q[1] for q in pieces[:k]) for k in range(len(pieces))]
 
 
+def test_packing_encodes_words_without_case_and_marks(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+
+    class Refused:
+        """A tokenizer whose model alone may be used."""
+
+        model = tokenizer.model
+
+        def encode_batch_fast(self, *args, **named):
+            raise AssertionError("a run of letters and marks went through the whole tokenizer")
+
+    def packed(texts, whole, kind=pa.string()):
+        def made(name, make):
+            out = make()
+            out.tokenizer = out.tokenizer if whole else Refused()
+            return out
+
+        monkeypatch.setattr(packing, "kept", made)
+        rows = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, kind)], ["doc_id", "text"])
+        out = [b""] * len(texts)
+        for batch in packing._pieces(path, 64, 1)(iter([rows])):
+            for r in batch.to_pylist():
+                assert len(r["ids"]) == 4 * r["length"] and len(out[r["doc_id"]]) == 4 * r["start"]
+                out[r["doc_id"]] += r["ids"]
+        return out
+
+    want = lambda texts: [np.asarray([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    plain = ["with With*** WITH%%% with.&&&", "Straße ÿ Éclair### ÑANDÚ!!\nñandú!!", "", None, "\n \n", "*** _[^`]~", "É" * 300 + "!!!"]
+    assert packed(plain, False) == packed(plain, False, pa.large_string()) == want(plain)
+    rng = random.Random(7)
+    bits = ["a", "B", "É", "Ÿ", "×", "'", "'S", "***", ".", "_", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", " ", "\n", "\r", "\t", "\u00a0", "\u0301", "H\u0331", "İ", "Å", "Σ", "日本", "12", "²", "ª", "\x00"]
+    odd = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(2000)]
+    assert packed(odd, True) == want(odd)
+
+
 def test_token_counts(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
