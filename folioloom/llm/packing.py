@@ -139,6 +139,7 @@ def _pieces(path: str, limit: int, end_id: int):
                 [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(places), ids]), pa.array(total, pa.int64())],
                 ["doc_id", "start", "length", "ids", "doc_tokens"],
             )
+        pa.default_memory_pool().release_unused()  # an idle worker holds none
 
     return run
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioloom.llm import decontamination, language, media, near_dedup, packing, pii, queries, repeats, token_counts
+from folioloom.llm import decontamination, language, media, near_dedup, packing, pii, queries, repeats, token_counts, worker
 from folioloom.llm.common import Shelf
 
 FOLDER = "/root/testdata/sf0.001"
@@ -293,6 +293,14 @@ def test_packing_encodes_words_without_case_and_marks(monkeypatch):
     assert packed(odd, True) == want(odd)
 
 
+def test_workers_keep_one_kind(monkeypatch):
+    monkeypatch.delitem(worker.sys.modules, "_folioloom_worker", raising=False)
+    made = []
+    make = lambda x: lambda: made.append(x) or x
+    assert [worker.kept(x, make(x)) for x in ("a:1", "a:2", "a:1", "b", "b", "a:1")] == ["a:1", "a:2", "a:1", "b", "b", "a:1"]
+    assert made == ["a:1", "a:2", "b", "a:1"]
+
+
 def test_token_counts(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
