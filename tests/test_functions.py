@@ -79,3 +79,20 @@ def test_numbered_pages_by_blocks(spark, monkeypatch):
     got = {(r.book_id, r.page_idx): r.raw_text for r in tables.book_pages(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     want = {(s, k): t for s in ("a", "b", None) for k, (_, t) in enumerate(sorted((d, t) for d, x, t in rows if x == s))}
     assert got == want
+
+
+def test_texts_with_single_spaces_are_not_rewritten(spark):
+    texts = ["una línea sin más", "dos  espacios", "a\tb", "x y", " 　z  w\n"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").select("k", F.col("x").rlike(T.P.ODD_SPACE).alias("odd"), T.collapse(F.col("x")).alias("made")).collect()
+    assert [(r.odd, r.made) for r in sorted(rows, key=lambda r: r.k)] == [(False, "una línea sin más"), (False, "dos espacios"), (True, "a b"), (True, "x y"), (True, "z w")]
+
+
+def test_texts_stay_out_of_the_windows_over_books(spark):
+    from folioloom.operators.sections import sections
+
+    pages = [("b", 0, ["Antes de todo, un texto que no es corto y que dice algo más de lo que dice un separador."]), ("b", 1, ["Capítulo 1: Uno", "a. " * 40, "b. " * 40]), ("b", 2, []), ("b", 3, ["c. " * 40]), (None, 0, ["d. " * 40])]
+    told, text, page_map = sections(spark.createDataFrame(pages, "book_id string, page_idx int, paras array<string>"))
+    assert sorted((r.ch_idx, r.pos, r.page_idx, r.text[:2]) for r in text.where("book_id = 'b'").collect()) == [(0, 0, 0, "An"), (1, 0, 1, "a."), (1, 1, 1, "b."), (1, 2, 3, "c.")]
+    assert [(r.pos, r.text[:2]) for r in text.where("book_id is null").collect()] == [(0, "d.")]
+    assert sorted((r.book_id or "", r.title) for r in told.collect()) == [("", "Introducción"), ("b", "Capítulo 1"), ("b", "Introducción")] and page_map.count() == 5
+    assert "Window" not in text._jdf.queryExecution().toString()
