@@ -399,7 +399,9 @@ def order_intervals(spark, sf_dir):
     """Spans of 40 days after each order, merged for each customer."""
     o = table(spark, sf_dir, "orders")
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
-    return Z.merge_intervals(o.select("o_custkey", day.alias("start_idx"), (day + 40).alias("end_idx")), ("o_custkey",))
+    spans = o.select("o_custkey", day.alias("start_idx"), (day + 40).alias("end_idx"))
+    # Orders without a date touch no other, nor each other.
+    return Z.merge_intervals(spans.where("start_idx is not null"), ("o_custkey",)).unionByName(spans.where("start_idx is null"))
 
 
 ORDER_SQL = """WITH o AS (SELECT o_custkey, CAST(datediff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS INT) AS s FROM orders),

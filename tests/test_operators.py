@@ -125,3 +125,16 @@ def test_gaps_end_at_the_total(spark):
     totals = spark.createDataFrame([("b", 0, 10), ("b", 1, 9), ("b", 2, 0), ("b", 3, 3)], "book_id string, ch_idx int, total int")
     got = sorted(tuple(r) for r in Z.gaps(ranges, totals).select("ch_idx", "start_idx", "end_idx").collect())
     assert got == [(0, 0, 2), (0, 4, 10), (1, 0, 8), (3, 0, 3)]
+
+
+def test_orders_without_a_date_stay_apart(spark, tmp_path):
+    import duckdb
+
+    from folioloom.queries.structure import ORDER_SQL, order_intervals
+
+    rows = [(1, None), (1, None), (1, "2020-01-01"), (1, "2020-01-20"), (1, "2020-06-01"), (2, None), (None, "2020-01-01"), (None, None), (None, None)]
+    spark.createDataFrame(rows, "o_custkey long, d string").selectExpr("o_custkey", "cast(d as timestamp_ntz) as o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    duck = duckdb.connect(config={"threads": 1})
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    got = sorted(map(repr, map(tuple, order_intervals(spark, str(tmp_path)).collect())))
+    assert got == sorted(map(repr, duck.sql(ORDER_SQL).fetchall())) and len(got) == 8
